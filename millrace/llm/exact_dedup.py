@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import SPACE, discard, id_and_text, written
 
 FAN_IN, ROUNDS = 16, 2
+_SCHEMA = pa.schema([(x, pa.string() if x == "digest" else pa.int64()) for x in ("node", "digest", "n_bytes", "check", "keep_id", "keep_row", "group_size")])
 _RUN = "node long, digest string, n_bytes long, check long, keep_id long, keep_row long, group_size long"
 
 
@@ -42,7 +43,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One entry for each text and node of rows that come sorted; the first of equal entries has the smallest identifier."""
     carry = None
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
+        rows = pa.Table.from_batches([batch]).cast(_SCHEMA)
         if carry is not None:
             rows = pa.concat_tables([carry, rows])
         n = rows.num_rows
