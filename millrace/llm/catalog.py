@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import table
 from millrace.llm.exact_dedup import exact_dedup
+from millrace.llm.html_extract import extract
 from millrace.llm.mixing import mix
 from millrace.llm.packing import pack
 from millrace.llm.secret_scan import digest, secret_scan
@@ -44,8 +45,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secret_scan(table(spark, sf_dir, "documents")))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_topk, op3_packing, op4_exact_dedup, op5_mixing, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_simhash, op2_topk, op3_packing, op4_exact_dedup, op5_mixing, op9_secret_scan, op10_html)}
 
 
 OP2_SQL = """
