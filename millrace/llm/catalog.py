@@ -14,6 +14,7 @@ from millrace.llm.mixing import mix
 from millrace.llm.packing import pack
 from millrace.llm.secret_scan import digest, secret_scan
 from millrace.llm.simhash import near_duplicates
+from millrace.llm.suffix_dedup import suffix_dedup
 from millrace.llm.topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("draw")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secret_scan(table(spark, sf_dir, "documents")))
 
@@ -50,7 +55,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_topk, op3_packing, op4_exact_dedup, op5_mixing, op9_secret_scan, op10_html)}
+    return {f.__name__: f for f in (op1_simhash, op2_topk, op3_packing, op4_exact_dedup, op5_mixing, op8_suffix_dedup, op9_secret_scan, op10_html)}
 
 
 OP2_SQL = """
