@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from millrace.llm.common import table
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.html_extract import extract
 from millrace.llm.mixing import mix
 from millrace.llm.packing import pack
+from millrace.llm.quality import classify
 from millrace.llm.secret_scan import digest, secret_scan
 from millrace.llm.simhash import near_duplicates
 from millrace.llm.suffix_dedup import suffix_dedup
 from millrace.llm.topk import top_k
+from millrace.llm.toxicity import score
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +45,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("draw")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -55,7 +66,8 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_topk, op3_packing, op4_exact_dedup, op5_mixing, op8_suffix_dedup, op9_secret_scan, op10_html)}
+    ops = (op1_simhash, op2_topk, op3_packing, op4_exact_dedup, op5_mixing, op6_quality, op7_toxicity, op8_suffix_dedup, op9_secret_scan, op10_html)
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 OP2_SQL = """
@@ -81,4 +93,5 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op4_exact_dedup": OP4_SQL}
+    own = {"op2_topk": OP2_SQL, "op4_exact_dedup": OP4_SQL}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
