@@ -1,8 +1,8 @@
 """SimHash near-dedup by the generalised pigeonhole principle.
 
 A text's fingerprint has 64 bits, each the majority among the hashes of its shingles. Two
-fingerprints that differ in at most RADIUS bits must, for any split of the bits into partitions with
-thresholds whose (threshold + 1) add up to RADIUS + 1, agree in some partition up to its threshold.
+fingerprints that differ in at most a radius of bits must, for any split of the bits into partitions with
+thresholds whose (threshold + 1) add up to the radius and one, agree in some partition up to its threshold.
 Bits that go together are put into the same partition; the number of partitions and their unequal
 thresholds come from a dynamic programme over estimated candidate counts, which grow with the number
 of fingerprints: the larger the table, the fewer and longer the keys. Each distinct fingerprint is
@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations, islice
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ from millrace.llm.components import components
 BITS, RADIUS, SEED = 64, 3, 42
 #: Fingerprints of a block, where a key has more; members up to which a group's links are all reported.
 BLOCK, SMALL = 512, 24
+#: What listing or probing a key costs, in candidates verified.
+ROW = 16
 _OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _digest = partial(xxhash.xxh64_digest, seed=SEED)
 
@@ -121,11 +124,8 @@ def thresholds(n: int, share: np.ndarray, groups: list[list[int]], radius: int =
         near = np.array([1.0])  # chances that two fingerprints differ in 0, 1, ... bits of the group
         for b in group:
             near = np.append(near * (1 - differ[b]), 0) + np.append(0, near * differ[b])
-        keys, row = 1.0, [0.0]
-        for t in range(radius + 1):
-            row.append(n * (keys + (t > 0)) * 8 + n * n / 2 * near[: t + 1].sum())
-            keys = keys * (len(group) - t) / (t + 1) + (1 if t == 0 else keys)
-        costs.append(row)  # by threshold + 1
+        ball = [sum(comb(len(group), k) for k in range(t + 1)) for t in range(radius + 1)]
+        costs.append([0.0] + [ROW * n * ball[t] + n * n / 2 * near[: t + 1].sum() for t in range(radius + 1)])  # by threshold + 1
     best = {0: (0.0, [])}
     for row in costs:
         new: dict[int, tuple[float, list[int]]] = {}
@@ -137,12 +137,12 @@ def thresholds(n: int, share: np.ndarray, groups: list[list[int]], radius: int =
     return best[radius + 1]
 
 
-def chosen(n: int, both: np.ndarray) -> list[tuple[list[int], int]]:
+def chosen(n: int, both: np.ndarray, radius: int = RADIUS) -> list[tuple[list[int], int]]:
     """The partitions that are used, with their thresholds."""
     splits = []
-    for parts in range(1, RADIUS + 2):
+    for parts in range(1, radius + 2):
         groups = grouped_bits(n, both, parts)
-        cost, limits = thresholds(n, np.diag(both) / n, groups)
+        cost, limits = thresholds(n, np.diag(both) / n, groups, radius)
         splits.append((cost, parts, groups, limits))
     _, _, groups, limits = min(splits, key=lambda x: x[:2])
     return [(g, t) for g, t in zip(groups, limits, strict=True) if t >= 0]
@@ -171,11 +171,11 @@ def _keys(fps: DataFrame, split: list[tuple[list[int], int]]) -> DataFrame:
     return fps.select("fp", F.explode(F.concat(*each)).alias("k")).select("fp", "k.*")
 
 
-def _joined(rows: np.ndarray, fp: np.ndarray, probe: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _joined(rows: np.ndarray, fp: np.ndarray, probe: np.ndarray, block: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of one large group that connect all that its links connect, one for each member at most."""
     fp, probe, block = fp[rows], probe[rows], block[rows]
     apart = (block[:, None] != block[None, :]) if (block != block[0]).any() else True
-    near = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= RADIUS) & ~(probe[:, None] & probe[None, :]) & apart
+    near = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius) & ~(probe[:, None] & probe[None, :]) & apart
     np.fill_diagonal(near, False)
     free, a, b = np.ones(len(rows), dtype=bool), [], []
     for s in range(len(rows)):
@@ -190,7 +190,7 @@ def _joined(rows: np.ndarray, fp: np.ndarray, probe: np.ndarray, block: np.ndarr
     return np.concatenate(a), np.concatenate(b)
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     names = ["part", "sig", "low", "high", "block", "probe", "fp"]
 
     def of(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -208,11 +208,11 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 break
             to = at + d
-            ok = (np.bitwise_count(fp[at] ^ fp[to]) <= RADIUS) & ~(probe[at] & probe[to]) & ((low[at] == high[at]) | (block[at] != block[to]))
+            ok = (np.bitwise_count(fp[at] ^ fp[to]) <= radius) & ~(probe[at] & probe[to]) & ((low[at] == high[at]) | (block[at] != block[to]))
             a.append(fp[at[ok]])
             b.append(fp[to[ok]])
         for s, k in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            x, y = _joined(np.arange(s, s + k), fp, probe, block)
+            x, y = _joined(np.arange(s, s + k), fp, probe, block, radius)
             a.append(x)
             b.append(y)
         if a:
@@ -235,25 +235,25 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from of(carry)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that connect all that differ in at most RADIUS bits."""
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) between distinct fingerprints that connect all that differ in at most radius bits."""
     n, both = _joint(fps)
     if not n:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    keys = _keys(fps, chosen(n, both))
+    keys = _keys(fps, chosen(n, both, radius))
     large = keys.groupBy("part", "sig").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
     rows = keys.join(large, ["part", "sig"], "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("part", "sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "probe", "fp")
-    return rows.repartition("part", "sig", "low", "high").sortWithinPartitions("part", "sig", "low", "high").mapInArrow(_links, "a long, b long")
+    return rows.repartition("part", "sig", "low", "high").sortWithinPartitions("part", "sig", "low", "high").mapInArrow(partial(_links, radius=radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
     """A row for each document: doc_id, fingerprint (hexadecimal), component_id, the smallest doc_id that links reach."""
     own = written(fingerprints(docs, words), "fingerprints")
     nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    of = components(links(nodes.select("fp")))
+    of = components(links(nodes.select("fp"), radius))
     rooted = nodes.join(of, nodes["fp"] == of["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -261,8 +261,8 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, words: int = 3) -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = 5, radius: int = 7) -> DataFrame:
     """The rows of docs with the smallest identifier of their component, one of each, with all their columns."""
     cols = docs.columns
-    stays = near_duplicates(docs, words).select(F.col("component_id").alias("__id")).distinct()
+    stays = near_duplicates(docs, words, radius).select(F.col("component_id").alias("__id")).distinct()
     return docs.join(stays, docs["doc_id"].eqNullSafe(stays["__id"]), "left_semi").dropDuplicates(["doc_id"]).select(*cols)
