@@ -354,7 +354,8 @@ def _points(spark, sf_dir) -> DataFrame:
     return e.select("vec_id", *[(F.get("embedding", F.lit(i)).cast("double") * 20).alias(n) for i, n in enumerate("xyz")])
 
 
-_P = (F.col("x"), F.col("y"), F.col("z"))
+def _p() -> tuple:
+    return F.col("x"), F.col("y"), F.col("z")
 
 
 @query(
@@ -365,7 +366,7 @@ SELECT vec_id, round(x + y + z, 6) AS dotted, round(z - y, 6) AS cx, round(x - z
 """
 )
 def vector_algebra(spark, sf_dir):
-    p, one = vec.vec(*_P), vec.vec(1, 1, 1)
+    p, one = vec.vec(*_p()), vec.vec(1, 1, 1)
     c = vec.cross(one, p)
     r = lambda v: F.round(v, 6)
     mixed = vec.minus(vec.plus(p, vec.times(p, one)), vec.scaled(vec.vec(F.col("y"), F.col("y"), F.col("y")), 1.0))
@@ -388,17 +389,17 @@ _ROOM = f"least(-least({_box_sql(*'xyz', *sdf.LOWER)}, {_box_sql(*'xyz', *sdf.UP
 
 @query(f"WITH {_POINTS} SELECT vec_id, round({_box_sql(*'xyz', (-1.0, -2.0, -3.0), (3.0, 2.0, 1.0))}, 6) AS d FROM points")
 def box_sdf(spark, sf_dir):
-    return _points(spark, sf_dir).select("vec_id", F.round(sdf.box(_P, (-1.0, -2.0, -3.0), (3.0, 2.0, 1.0)), 6).alias("d"))
+    return _points(spark, sf_dir).select("vec_id", F.round(sdf.box(_p(), (-1.0, -2.0, -3.0), (3.0, 2.0, 1.0)), 6).alias("d"))
 
 
 @query(f"WITH {_POINTS} SELECT vec_id, round({_sphere_sql((1.0, 2.0, 3.0, 4.0))}, 6) AS d FROM points")
 def sphere_sdf(spark, sf_dir):
-    return _points(spark, sf_dir).select("vec_id", F.round(sdf.sphere(_P, (1.0, 2.0, 3.0), 4.0), 6).alias("d"))
+    return _points(spark, sf_dir).select("vec_id", F.round(sdf.sphere(_p(), (1.0, 2.0, 3.0), 4.0), 6).alias("d"))
 
 
 @query(f"WITH {_POINTS} SELECT vec_id, round({_ROOM}, 6) AS d FROM points")
 def room_sdf(spark, sf_dir):
-    return _points(spark, sf_dir).select("vec_id", F.round(sdf.room(_P), 6).alias("d"))
+    return _points(spark, sf_dir).select("vec_id", F.round(sdf.room(_p()), 6).alias("d"))
 
 
 #: d and material of placed letters: standing(vec_id, idx, char, x, y, z) -> letters
@@ -445,7 +446,7 @@ SELECT vec_id, round(CASE WHEN 19.9e0 - y < b.d THEN 19.9e0 - y ELSE b.d END, 6)
 """
 )
 def scene_nearest(spark, sf_dir):
-    return _points(spark, sf_dir).select("vec_id", sdf.scene(_P, WORD).alias("s")).select("vec_id", F.round("s.d", 6).alias("d"), F.col("s.material").alias("material"))
+    return _points(spark, sf_dir).select("vec_id", sdf.scene(_p(), WORD).alias("s")).select("vec_id", F.round("s.d", 6).alias("d"), F.col("s.material").alias("material"))
 
 
 # ---------------------------------------------------------------- rays
