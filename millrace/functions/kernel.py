@@ -22,100 +22,118 @@ _MIRROR, _DIFFUSE = np.zeros(12, dtype=bool), np.zeros(12, dtype=bool)
 _MIRROR[1:7], _DIFFUSE[7:10] = True, True
 
 
-def _box(p: np.ndarray, low, high) -> np.ndarray:
-    return -np.minimum(p - np.array(low), np.array(high) - p).min(axis=1)
-
-
 @dataclass
 class _Letter:
-    """A placed glyph, with its strokes as arrays."""
+    """A placed glyph: its box, and its strokes as arrays."""
 
-    low: np.ndarray
-    high: np.ndarray
-    begin: np.ndarray
-    along: np.ndarray
+    box: tuple[float, float, float, float]
+    lines: list[tuple[float, float, float, float]]  # begin and direction
     arcs: list[tuple[str, float, float, float]]
 
-    def distance(self, p: np.ndarray) -> np.ndarray:
-        q = p[:, :2]
-        flat = np.full(len(p), FAR)
-        if len(self.begin):
-            off = q[:, None, :] - self.begin
-            t = np.clip((off * self.along).sum(axis=2) / (self.along * self.along).sum(axis=1), 0, 1)
-            rest = off - self.along * t[:, :, None]
-            flat = np.minimum(flat, (rest * rest).sum(axis=2).min(axis=1))
+    def distance(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+        flat = np.full(len(x), FAR)
+        for bx, by, ex, ey in self.lines:
+            ox, oy = x - bx, y - by
+            t = np.clip((ox * ex + oy * ey) / (ex * ex + ey * ey), 0, 1)
+            ox -= ex * t
+            oy -= ey * t
+            np.minimum(flat, ox * ox + oy * oy, out=flat)
         flat = np.sqrt(flat)
         for kind, cx, cy, r in self.arcs:
-            o = q - (cx, cy)
-            d = np.abs(np.sqrt((o * o).sum(axis=1)) - r)
+            ox, oy = x - cx, y - cy
+            d = np.abs(np.sqrt(ox * ox + oy * oy) - r)
             if kind != "o":
-                axis, sign = {"r": (0, 1), "l": (0, -1), "u": (1, 1), "d": (1, -1)}[kind]
-                end = o[:, 1 - axis] + np.where(o[:, 1 - axis] > 0, -r, r)
-                d = np.where(o[:, axis] * sign > 0, d, np.sqrt(o[:, axis] ** 2 + end**2))
-            flat = np.minimum(flat, d)
-        return (flat**8 + p[:, 2] ** 8) ** 0.125 - HALF
+                along, across = {"r": (ox, oy), "l": (-ox, oy), "u": (oy, ox), "d": (-oy, ox)}[kind]
+                end = across + np.where(across > 0, -r, r)
+                d = np.where(along > 0, d, np.sqrt(along * along + end * end))
+            np.minimum(flat, d, out=flat)
+        return (flat**8 + z**8) ** 0.125 - HALF
 
 
 class Scene:
+    """Points are given as three arrays, which keeps each pass over memory in line."""
+
     def __init__(self, word: str) -> None:
         self.letters = []
-        for c, x in layout_of(word):
+        for c, shift in layout_of(word):
             g = catalog()[c]
             x0, x1, y0, y1 = g.box
-            lines = np.array(g.lines).reshape(-1, 4)
-            shift = np.array([x, 0.0])
-            self.letters.append(
-                _Letter(np.array([x0 + x, y0, -HALF]), np.array([x1 + x, y1, HALF]), lines[:, :2] + shift, lines[:, 2:] - lines[:, :2], [(k, cx + x, cy, r) for k, cx, cy, r in g.arcs])
-            )
+            lines = [(a + shift, b, c - a, d - b) for a, b, c, d in g.lines]
+            self.letters.append(_Letter((x0 + shift, x1 + shift, y0, y1), lines, [(k, cx + shift, cy, r) for k, cx, cy, r in g.arcs]))
 
-    def query(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def query(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distance and material, models in order; see sdf.scene."""
-        best, material = np.full(len(p), FAR), np.zeros(len(p), dtype=np.int64)
+        best, material = np.full(len(x), FAR), np.zeros(len(x), dtype=np.int8)
+        depth, rows = np.abs(z) - HALF, {}
 
-        def put(d: np.ndarray, m: np.ndarray | int) -> None:
+        def put(d: np.ndarray, m: int) -> np.ndarray:
             near = d < best + EPSILON
-            best[near], material[near] = d[near], m[near] if isinstance(m, np.ndarray) else m
+            np.copyto(best, d, where=near)
+            material[near] = m
+            return near
 
         for g in self.letters:
-            d = _box(p, g.low, g.high)
-            near = np.flatnonzero(d <= EPSILON)
-            m = np.full(len(p), AABB)
-            if len(near):
-                d[near], m[near] = g.distance(p[near]), LETTER
-            put(d, m)
-        plank = p.copy()
-        plank[:, 0] = np.abs(p[:, 0]) % PLANK
-        put(np.minimum(-np.minimum(_box(p, *LOWER), _box(p, *UPPER)), _box(plank, *PLANKS)), WALL)
-        for x, y, z, r, m in SPHERES:
-            o = p - (x, y, z)
-            put(np.sqrt((o * o).sum(axis=1)) - r, m)
-        sun = SUN_HEIGHT - p[:, 1]
+            x0, x1, y0, y1 = g.box
+            if (y0, y1) not in rows:  # boxes differ in x, mostly
+                rows[y0, y1] = np.maximum(np.maximum(y0 - y, y - y1), depth)
+            d = np.maximum(np.maximum(x0 - x, x - x1), rows[y0, y1])
+            inner = np.flatnonzero(d <= EPSILON)
+            if len(inner):
+                d[inner] = g.distance(x[inner], y[inner], z[inner])
+            near = put(d, AABB)
+            if len(inner):
+                material[inner[near[inner]]] = LETTER
+        ax, az = np.abs(x), np.abs(z)
+        (lx, ly, lz), (hx, hy, hz) = LOWER
+        hollow = np.minimum(np.minimum(hx - ax, hz - az), np.minimum(y - ly, hy - y))
+        (lx, ly, lz), (hx, hy, hz) = UPPER
+        np.maximum(hollow, np.minimum(np.minimum(hx - ax, hz - az), np.minimum(y - ly, hy - y)), out=hollow)
+        (lx, ly, lz), (hx, hy, hz) = PLANKS
+        folded = ax - PLANK * np.floor(ax / PLANK)
+        plank = np.maximum(np.maximum(np.maximum(lx - folded, folded - hx), np.maximum(ly - y, y - hy)), np.maximum(lz - z, z - hz))
+        put(np.minimum(hollow, plank), WALL)
+        for cx, cy, cz, r, m in SPHERES:
+            ox, oy, oz = x - cx, y - cy, z - cz
+            put(np.sqrt(ox * ox + oy * oy + oz * oz) - r, m)
+        sun = SUN_HEIGHT - y
         near = sun < best
-        best[near], material[near] = sun[near], SUN
+        np.copyto(best, sun, where=near)
+        material[near] = SUN
         return best, material
 
 
 def march(origin: np.ndarray, direction: np.ndarray, scene: Scene) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Material, place and normal of what each ray hits: at most MOST_STEPS + 2 samples a ray, the last of which counts as a hit."""
     n = len(origin)
-    material, place, normal = np.zeros(n, dtype=np.int64), origin.copy(), np.zeros((n, 3))
-    gone, distance, live = np.zeros(n), np.zeros(n), np.arange(n)
+    material, gone, distance = np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n)
+    live = np.arange(n)
+    start, way = [np.ascontiguousarray(origin[:, k]) for k in range(3)], [np.ascontiguousarray(direction[:, k]) for k in range(3)]
+    o, v, so_far = start, way, np.zeros(n)
     for step in range(MOST_STEPS + 2):
+        d, m = scene.query(*(a + b * so_far for a, b in zip(o, v, strict=True)))
+        hit = (d < EPSILON) | (step > MOST_STEPS)
+        ended = np.flatnonzero(hit)
+        if len(ended):
+            i = live[ended]
+            material[i], distance[i], gone[i] = m[ended], d[ended], so_far[ended]
+        ahead = so_far + d
+        on = np.flatnonzero(~hit & (ahead < MOST_DISTANCE))
+        if len(on) < len(live):
+            lost = np.flatnonzero(~hit & (ahead >= MOST_DISTANCE))
+            gone[live[lost]] = so_far[lost]
+            live, so_far = live[on], ahead[on]
+            o, v = [a[on] for a in o], [a[on] for a in v]
+        else:
+            so_far = ahead
         if not len(live):
             break
-        at = origin[live] + direction[live] * gone[live, None]
-        place[live] = at
-        d, m = scene.query(at)
-        hit = (d < EPSILON) | (step > MOST_STEPS)
-        material[live[hit]], distance[live[hit]] = m[hit], d[hit]
-        gone[live] += d
-        live = live[~hit & (gone[live] < MOST_DISTANCE)]
+    at = [a + b * gone for a, b in zip(start, way, strict=True)]
+    place, normal = np.stack(at, axis=1), np.zeros((n, 3))
     hit = np.flatnonzero(material > 0)
     if len(hit):
+        at = [a[hit] for a in at]
         for axis in range(3):
-            shift = np.zeros(3)
-            shift[axis] = EPSILON
-            normal[hit, axis] = scene.query(place[hit] + shift)[0] - distance[hit]
+            normal[hit, axis] = scene.query(*(a + EPSILON if k == axis else a for k, a in enumerate(at)))[0] - distance[hit]
         with np.errstate(all="ignore"):
             normal[hit] *= 1 / np.sqrt((normal[hit] ** 2).sum(axis=1))[:, None]
     return material, place, normal

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Most parts that a range is split into.
 MOST_SPLITS = 1024
+#: Rays of a part, where no number of parts is given: enough that stepping them together pays.
+RAYS_A_PART = 1 << 17
 
 
 def impulse(spark: SparkSession, at: datetime | None = None) -> DataFrame:
@@ -37,7 +39,7 @@ def ray_indexes(spark: SparkSession, width: int, height: int, samples: int, part
     The index 0 is left out unless include_origin is set: the first pixel then has a sample less.
     """
     total = width * height * samples
-    parts = min(MOST_SPLITS, parts or spark.sparkContext.defaultParallelism * 4, max(1, total))
+    parts = max(1, min(MOST_SPLITS, parts or max(spark.sparkContext.defaultParallelism, total // RAYS_A_PART), total))
     stride = width * samples
     i = F.col("id")
     return spark.range(0 if include_origin else 1, total, 1, parts).select(

@@ -39,7 +39,7 @@ def test_validation():
 
 
 def test_scene_in_numpy_and_columns(spark):
-    d, m = Scene("PIXAR").query(np.array(POINTS, dtype=float))
+    d, m = Scene("PIXAR").query(*np.array(POINTS, dtype=float).T)
     assert [sdf.MATERIALS[i] for i in m] == [x for _, x in FOUND]
     assert np.allclose(d, [x for x, _ in FOUND], atol=1e-6)
     rows = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(POINTS)], "i int, x double, y double, z double")
@@ -60,7 +60,7 @@ def _march_one(origin, direction, scene):
     gone, steps = 0.0, 0
     while gone < 100:
         at = origin + direction * gone
-        d, m = (x[0] for x in scene.query(at[None]))
+        d, m = (x[0] for x in scene.query(*at[:, None]))
         if d < 0.001 or steps > 99:
             return m, at
         gone, steps = gone + d, steps + 1
