@@ -13,8 +13,10 @@ from millrace.functions import dispatch, glyphs, sdf, vec
 from millrace.functions.rng import uniform
 from millrace.functions.scalar import atoi, itoa, tone_mapped
 from millrace.operators import bundles, combine, elementwise, outputs, sides, sinks
+from millrace.operators.invoke import call_with
 from millrace.operators.metrics import Run
 from millrace.plans import render as plan
+from millrace.plans.launch import launch_and_wait
 from millrace.sources.generated import count_up, fan_out, impulse, ray_indexes
 from millrace.sources.tables import table
 from millrace.streaming import events as streams
@@ -225,6 +227,33 @@ def element_event_time(spark, sf_dir):
     return given.select("event_id", "own_time", F.col("event_time").cast("timestamp_ntz").alias("given_time"), "pane")
 
 
+@query(
+    """
+SELECT t.tag, n_name AS k, n_nationkey AS v, 123456789::BIGINT AS at, (SELECT min(r_regionkey) FROM region)::BIGINT AS first, (SELECT min_by(r_name, r_regionkey) FROM region) AS word
+FROM nation, (SELECT unnest(['output1', 'output2']) AS tag) t
+"""
+)
+def dynamic_invoker(spark, sf_dir):
+    region = table(spark, sf_dir, "region").orderBy("r_regionkey")
+
+    def both(element, event_time, tag1, tag2, output1, output2):
+        row = {"k": element["n_name"], "v": element["n_nationkey"], "at": event_time, "first": next(tag1, 0), "word": next(tag2, "")}
+        output1(row)
+        output2(row)
+
+    sides_of = {"tag1": region.select("r_regionkey"), "tag2": region.select("r_name")}
+    return call_with(table(spark, sf_dir, "nation"), both, ["output1", "output2"], "k string, v int, at long, first long, word string", sides_of, event_time=123456789)
+
+
+@query("SELECT 'source' AS step, 10::BIGINT AS n UNION ALL SELECT 'sink', 10")
+def launch(spark, sf_dir):
+    def build(s: SparkSession, run: Run) -> dict[str, DataFrame]:
+        source = fan_out(impulse(s), 10)
+        return {"source": source, "sink": run.counted(elementwise.increment(source, "v"), "increment")}
+
+    return spark.createDataFrame(list(launch_and_wait(spark, build, "demo").elements.items()), "step string, n long")
+
+
 # ---------------------------------------------------------------- grouping
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import bundles, combine, elementwise, metrics, outputs, sides, sinks
+from millrace.operators.invoke import call_with
 from millrace.plans import render as plan
 from millrace.sources.generated import count_up, fan_out, impulse, ray_indexes
 
@@ -128,3 +129,17 @@ def test_render(spark, tmp_path):
     assert _read_png(open(done.path, "rb").read()).shape == (9, 16, 4)
     with pytest.raises(ValueError, match="no glyph"):
         plan.render(spark, "a?", image)
+
+
+def test_call_with_binds_by_name(spark):
+    df = spark.createDataFrame([("foo", 42)], "k string, v int")
+
+    def only(element, large):
+        if element["v"] > 40:
+            large(element)
+
+    got = call_with(df, only, ["large", "small"], "k string, v int")
+    assert [tuple(r) for r in got.collect()] == [("large", "foo", 42)]
+    with pytest.raises(TypeError, match="nothing"):
+        call_with(df, lambda element, nothing: None, [], "k string")
+    assert call_with(df, lambda: None, [], "k string").count() == 0
