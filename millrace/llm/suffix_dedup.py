@@ -9,7 +9,8 @@ reaches LENGTH) or later. Bytes under such windows are removed: all of them, or,
 those of later copies.
 
 An anchor on HOT or more texts isn't brought together: its windows are counted by (anchor, hash of
-the whole window), which pre-aggregates and spreads. Equal texts count as one and meet no one else's
+what they hold), which pre-aggregates and spreads; first in blocks of RUN windows, then, for blocks that
+are alone and one of each that aren't, window by window. Equal texts count as one and meet no one else's
 task; windows that repeat within a text are settled there, and one of them stands for the rest.
 
 Defined results: a null text counts as empty; repeated rows and equal texts are copies of each other;
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import id_and_text, written
 
-LENGTH, GRAM, HOT = 200, 32, 256
+LENGTH, GRAM, HOT, RUN = 200, 32, 256, 16
 #: Bytes of a text that are looked at together, and of segments that share a suffix array.
 STRETCH, ARRAY = 1 << 20, 1 << 21
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -67,14 +68,14 @@ def _first_least(h: np.ndarray, width: int) -> np.ndarray:
         at, size = np.where(h[right] < h[left], right, left), size + step
 
 
-def anchored(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By stretches: hashes of anchors, first window of each, number of its windows; and the hashes of all windows of the stretch."""
+def anchored(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, whole: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
+    """By stretches: hashes of anchors, their places, first window of each, number of its windows; and, if asked for, the hashes of all windows of the stretch."""
     for at in range(0, len(data) - length + 1, STRETCH):
         part = data[at : at + STRETCH + length - 1]
-        grams, windows = _hashes(part, gram, length)
+        grams, *windows = _hashes(part, gram, *[length] * whole)
         least = _first_least(grams, length - gram + 1)
         start = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-        yield grams[least[start]].view(np.int64), start + at, np.diff(np.append(start, len(least))), windows.view(np.int64)
+        yield grams[least[start]].view(np.int64), least[start] + at, start + at, np.diff(np.append(start, len(least))), *[x.view(np.int64) for x in windows]
 
 
 def _text_key():
@@ -89,7 +90,7 @@ def _read(docs: DataFrame, length: int) -> DataFrame:
             sizes, anchors, again = [], [], []
             for x in batch.column("text"):
                 data = np.frombuffer(x.as_buffer(), dtype=np.uint8)
-                found = [a for a, *_ in anchored(data, length)]
+                found = [a for a, *_ in anchored(data, length, whole=False)]
                 a, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
                 sizes.append(len(data))
                 anchors.append(a)
@@ -104,27 +105,28 @@ def _read(docs: DataFrame, length: int) -> DataFrame:
 
 # ---------------------------------------------------------------- candidates of a text
 
-_SEGMENT = pa.schema([("kind", pa.string()), ("anchor", pa.int64()), ("window", pa.int64()), ("least", pa.int64()), ("key", pa.binary()), ("start", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())])
-_SEGMENT_DDL = "kind string, anchor long, window long, least long, key binary, start long, n long, bytes binary"
+_SEGMENT = pa.schema([("kind", pa.string()), ("anchor", pa.int64()), ("window", pa.int64()), ("least", pa.int64()), ("key", pa.binary()), ("start", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary()), ("each", pa.list_(pa.int64()))])
+_SEGMENT_DDL = "kind string, anchor long, window long, least long, key binary, start long, n long, bytes binary, each array<long>"
 
 
 def _segments_of(data: np.ndarray, anchors: np.ndarray, hot: np.ndarray, length: int) -> Iterator[tuple]:
-    """(kind, anchor, window, start, n): settled within the text ('local', 'first'), for the suffix array ('segment') or to be counted ('hot')."""
+    """(kind, anchor, window, start, n, each): settled within the text ('local', 'first'), for the suffix array ('segment') or to be counted ('hot': window is the hash of a block, each those of its windows)."""
     order = np.argsort(anchors)
     anchors, hot = anchors[order], hot[order]
-    starts, tags, hashes = [], [], []
-    for a, start, n, windows in anchored(data, length):
+    starts, tags, hashes, blocks = [], [], [], []
+    for a, place, start, n, windows in anchored(data, length):
         i = np.minimum(np.searchsorted(anchors, a), len(anchors) - 1)
         ok = anchors[i] == a
-        start, n, i = start[ok], n[ok], i[ok]
+        place, start, n, i = place[ok], start[ok], n[ok], i[ok]
         if len(start):
             each = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             starts.append(each)
             tags.append(np.repeat(i, n))
+            blocks.append(np.repeat(place, n) * 64 + (np.repeat(place, n) - each) // RUN)  # by place of the anchor and distance from it
             hashes.append(windows[each - start[0] // STRETCH * STRETCH])
     if not starts:
         return
-    starts, tags, hashes = map(np.concatenate, (starts, tags, hashes))
+    starts, tags, hashes, blocks = map(np.concatenate, (starts, tags, hashes, blocks))
     _, first, counts = np.unique(hashes, return_index=True, return_counts=True)
     stands = np.zeros(len(starts), dtype=bool)
     stands[first] = True
@@ -142,12 +144,17 @@ def _segments_of(data: np.ndarray, anchors: np.ndarray, hot: np.ndarray, length:
 
     for kind, which in (("local", ~stands), ("first", many)):
         for _, start, n in runs(which, False):
-            yield kind, 0, 0, start, n
+            yield kind, 0, 0, start, n, None
     for t, start, n in runs(stands & ~hot[tags], True):
-        yield "segment", int(anchors[t]), 0, start, n
+        yield "segment", int(anchors[t]), 0, start, n, None
     at = np.flatnonzero(stands & hot[tags])
-    for a, w, start in zip(anchors[tags[at]].tolist(), hashes[at].tolist(), starts[at].tolist(), strict=True):
-        yield "hot", a, w, start, 1
+    if len(at):
+        edge = np.flatnonzero(np.append(True, (np.diff(starts[at]) != 1) | (blocks[at[1:]] != blocks[at[:-1]])))
+        n = np.diff(np.append(edge, len(at)))
+        # the first and the last window of a block cover all its bytes
+        own = _mixed(_mixed(hashes[at[edge]].view(np.uint64), hashes[at[edge + n - 1]].view(np.uint64)), n.astype(np.uint64)).view(np.int64)
+        for t, w, i, k in zip(tags[at[edge]].tolist(), own.tolist(), edge.tolist(), n.tolist(), strict=True):
+            yield "hot", int(anchors[t]), w, int(starts[at[i]]), k, hashes[at[i : i + k]]
 
 
 def _candidates(texts: DataFrame, length: int) -> DataFrame:
@@ -158,10 +165,10 @@ def _candidates(texts: DataFrame, length: int) -> DataFrame:
             for key, least, text, anchors in zip(batch.column("key"), batch.column("least"), batch.column("text"), batch.column("anchors"), strict=True):
                 raw, found = text.as_buffer(), anchors.values
                 data, view = np.frombuffer(raw, dtype=np.uint8), memoryview(raw)
-                for kind, anchor, window, start, n in _segments_of(data, found.field("anchor").to_numpy(), found.field("hot").to_numpy(zero_copy_only=False), length):
+                for kind, anchor, window, start, n, each in _segments_of(data, found.field("anchor").to_numpy(), found.field("hot").to_numpy(zero_copy_only=False), length):
                     own = bytes(view[start : start + n - 1 + length]) if kind == "segment" else None
-                    size += 64 + (len(own) if own else 0)
-                    for col, x in zip(out, (kind, anchor, window, least.as_py(), key.as_py(), start, n, own), strict=True):
+                    size += 64 + (len(own) if own else 0) + (8 * n if each is not None else 0)
+                    for col, x in zip(out, (kind, anchor, window, least.as_py(), key.as_py(), start, n, own, each), strict=True):
                         col.append(x)
                     if size > STRETCH:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SEGMENT, strict=True)], schema=_SEGMENT)
@@ -269,7 +276,7 @@ def spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> tu
     meets = each.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max("again").alias("again"), F.count("*").alias("n"))
     meets = meets.where("low <> high OR again").select("anchor", (F.col("n") >= HOT).alias("hot"))
     lists = each.join(meets, "anchor").groupBy("key").agg(F.collect_set(F.struct("anchor", "hot")).alias("anchors"))
-    lists = lists.join(by_text.select("key", "least"), "key")
+    lists = written(lists.join(by_text.select("key", "least"), "key"), "lists")  # so that the join with the texts can split a text that many share
     texts = id_and_text(docs).withColumn("key", _text_key()).join(lists, "key").where(F.col("doc_id").eqNullSafe(F.col("least")))
     found = written(_candidates(texts.select("key", "least", "text", "anchors"), length), "candidates")
 
@@ -277,15 +284,21 @@ def spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> tu
     together = together.repartition("anchor").sortWithinPartitions("anchor", F.col("least").asc_nulls_last(), "key", "start")
     cold = together.mapInArrow(_settled(length, keep_first), "key binary, start long, n long")
 
-    hot = found.where("kind = 'hot'").select("anchor", "window", F.struct(F.coalesce("least", F.lit(2**63 - 1)).alias("least"), "key", "start").alias("place"))
-    met = hot.groupBy("anchor", "window").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high")
-    again = hot.join(met.select("anchor", "window", "low"), ["anchor", "window"]).where(F.lit(not keep_first) | (F.col("place") != F.col("low")))
-    counted = again.select("place.key", "place.start", F.lit(1).cast("long").alias("n"))
+    hot = found.where("kind = 'hot'").select("anchor", "window", "n", "each", F.struct(F.coalesce("least", F.lit(2**63 - 1)).alias("least"), "key", "start").alias("place"))
+    met = hot.groupBy("anchor", "window").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    blocks = written(hot.join(met, ["anchor", "window"]), "blocks")
+    alike = blocks.where("low <> high").where(F.lit(not keep_first) | (F.col("place") != F.col("low")))
+    single = blocks.where("low = high OR place = low").select("anchor", "place", F.posexplode("each").alias("i", "window"))
+    single = single.select("anchor", "window", F.struct(F.col("place.least").alias("least"), F.col("place.key").alias("key"), (F.col("place.start") + F.col("i")).alias("start")).alias("place"))
+    met = single.groupBy("anchor", "window").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high")
+    again = single.join(met, ["anchor", "window"]).where(F.lit(not keep_first) | (F.col("place") != F.col("low")))
+    counted = alike.select("place.key", "place.start", "n").unionByName(again.select("place.key", "place.start", F.lit(1).cast("long").alias("n")))
 
     within = found.where("kind = 'local'" if keep_first else "kind IN ('local', 'first')").select("key", "start", "n")
     copies = by_text.where(f"copies > 1 AND n_bytes >= {length}").where(F.lit(not keep_first)).select("key", F.lit(0).cast("long").alias("start"), (F.col("n_bytes") - length + 1).alias("n"))
     every = cold.unionByName(counted).unionByName(within).unionByName(copies)
     joined = every.groupBy("key").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") - 1 + length).alias("end"))).alias("spans"))
+    joined = written(joined, "spans")
     return read.select("doc_id", "key", "n_bytes").join(by_text.select("key", "least", "copies"), "key"), joined
 
 
