@@ -150,7 +150,7 @@ def test_mixing(docs, rows):
 
 def test_targets_share_the_excess():
     assert mixing.targets([10, 10, 10]) == pytest.approx([5, 10, 15])
-    assert mixing.targets([1, 100, 1]) == pytest.approx([96 * 0 + 102 - 3 - goal for goal in [102 - 3 - mixing.targets([1, 100, 1])[0]]] + [mixing.targets([1, 100, 1])[1], 3])
+    assert mixing.targets([1, 100, 1]) == pytest.approx([3, 96, 3])
     assert mixing.targets([0, 0]) == [0, 0] and mixing.targets([]) == []
 
 
