@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import id_and_text
 from millrace.llm.quality import labelled
 
-MOST_LABELS, MOST_FEATURES, LEAST_DOCS = 8_000, 512, 3
-#: Lengths of word beginnings; the ridge; words whose features a worker remembers.
-BEGINNINGS, RIDGE, REMEMBERED = range(3, 9), 0.02, 500_000
+MOST_LABELS, MOST_FEATURES, LEAST_DOCS, LEAST_LIFT = 8_000, 512, 3, 10.0
+#: Lengths of word beginnings; the ridge; words whose features a worker remembers, and keys that it counts before it passes them on.
+BEGINNINGS, RIDGE, REMEMBERED, HELD = range(3, 9), 0.02, 300_000, 100_000
 _WORD = re.compile(r"\w+")
 
 
@@ -100,21 +100,25 @@ def fit(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = RIDGE, steps:
 def _association(sample: DataFrame) -> list[str]:
     """The keys whose presence, or repeated presence, goes most with the label."""
 
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["key", "n0", "n1", "m0", "m1"])
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, list[int]] = {}
         docs = [0, 0]
         for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                y = int(y > 0)
+            for text, label in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
+                y = int(label > 0)
                 docs[y] += 1
-                for key, c in Counter(k for w in _WORD.findall(text.lower()) for k in keys(w)).items():
+                for key, c in Counter(k for w in _WORD.findall(text.as_py().lower()) for k in keys(w)).items():
                     row = totals.setdefault(key, [0, 0, 0, 0])
                     row[y] += 1
                     row[2 + y] += c > 1
-        rows = [("", *docs, *docs)] + [(k, *v) for k, v in totals.items()]
-        for i in range(0, len(rows), 20_000):
-            cols = list(zip(*rows[i : i + 20_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["key", "n0", "n1", "m0", "m1"])
+                if len(totals) > HELD:
+                    yield told([(k, *v) for k, v in totals.items()])
+                    totals.clear()
+        yield told([("", *docs, *docs)] + [(k, *v) for k, v in totals.items()])
 
     sums = sample.mapInArrow(counted, "key string, n0 long, n1 long, m0 long, m1 long").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "m0", "m1")])
     sums = sums.where((F.col("n1") >= LEAST_DOCS) | (F.col("key") == "")).persist()
@@ -125,7 +129,7 @@ def _association(sample: DataFrame) -> list[str]:
     def lift(pos: str, neg: str):
         return F.col(pos) * (F.log((F.col(pos) + 0.5) / (total["n1"] + 1)) - F.log((F.col(neg) + 0.5) / (total["n0"] + 1)))
 
-    best = sums.where("key <> ''").select("key", F.greatest(lift("n1", "n0"), lift("m1", "m0")).alias("lift")).where("lift > 0")
+    best = sums.where("key <> ''").select("key", F.greatest(lift("n1", "n0"), lift("m1", "m0")).alias("lift")).where(F.col("lift") > LEAST_LIFT)
     out = [r["key"] for r in best.orderBy(F.desc("lift"), "key").limit(MOST_FEATURES).collect()]
     sums.unpersist()
     return out
@@ -143,7 +147,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame
         def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scan = Scan(place)
             for batch in batches:
-                found = [scan(x) for x in batch.column("text").to_pylist()]
+                found = [scan(x.as_py()) for x in batch.column("text")]
                 yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([n for _, n in found], pa.int64()), pa.array([[*c.keys()] for c, _ in found], pa.list_(pa.int64())), pa.array([[*c.values()] for c, _ in found], pa.list_(pa.int64()))], names=["y", "n", "at", "c"])
 
         rows = sample.mapInArrow(scanned, "y int, n long, at array<long>, c array<long>").toPandas()
@@ -158,8 +162,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame
         scan, size = Scan(place), len(place)
         for batch in batches:
             raw = np.zeros(batch.num_rows)
-            for j, text in enumerate(batch.column("text").to_pylist()):
-                counts, n = scan(text)
+            for j, text in enumerate(batch.column("text")):
+                counts, n = scan(text.as_py())
                 raw[j] = sum(float(weights[i::size] @ _values(c, n)) for i, c in counts.items())
             above = 1 - 1 / (1 + np.exp(-np.clip(cuts[None, :] - raw[:, None], -30, 30))) if np.isfinite(cuts).all() else np.zeros((len(raw), 1))
             cols = [above[:, 0] >= 0.5, above.sum(axis=1), (above >= 0.5).sum(axis=1).astype(np.int32), above[:, 0]]
