@@ -78,7 +78,7 @@ def fit(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = RIDGE, steps:
     v = np.ones(d, dtype=x.dtype)
     for _ in range(20):  # the largest curvature of the features
         v = x.T @ (x @ (v / max(1e-9, float(np.linalg.norm(v)))))
-    rate = 2.0 / max(1.0, float(np.linalg.norm(v)) / n)
+    rate = 1.0 / (1.0 + float(np.linalg.norm(v)) / n)  # the thresholds have a curvature of their own
     old, momentum = z.copy(), 0.9
     low, high = y - 1, y
     for _ in range(steps):
