@@ -22,7 +22,7 @@ repeated rows do no harm.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 from itertools import combinations, islice
 from math import comb
@@ -38,9 +38,9 @@ from millrace.llm.components import components
 
 BITS, RADIUS, SEED = 64, 3, 42
 #: Fingerprints of a block, where a key has more; members up to which a group's links are all reported.
-BLOCK, SMALL = 512, 24
-#: What listing or probing a key costs, in candidates verified.
-ROW = 16
+BLOCK, SMALL = 1024, 24
+#: What listing or probing a key costs, in candidates verified: microseconds of shuffling and sorting, against nanoseconds in an array.
+ROW = 500
 _OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _digest = partial(xxhash.xxh64_digest, seed=SEED)
 
@@ -64,15 +64,16 @@ def fingerprint(text: str, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *words: int) -> DataFrame:
+    """doc_id, text_hash and fps: a fingerprint for each length of shingles, as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column("text")), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([[fingerprint(text, w) for w in words] for text in (x.as_py() for x in batch.column("text"))], dtype=np.uint64).reshape(-1)
+            fps = pa.FixedSizeListArray.from_arrays(pa.array(found.view(np.int64)), len(words)).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), fps], names=["doc_id", "text_hash", "fps"])
 
-    return id_and_text(docs).mapInArrow(each, "doc_id long, fp long")
+    return id_and_text(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(each, "doc_id long, text_hash long, fps array<long>")
 
 
 # ---------------------------------------------------------------- partitions and thresholds
@@ -249,20 +250,46 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.repartition("part", "sig", "low", "high").sortWithinPartitions("part", "sig", "low", "high").mapInArrow(partial(_links, radius=radius), "a long, b long")
 
 
+#: Stands for a null identifier where the smallest one is looked for.
+_LAST = 2**63 - 1
+
+
+def grouped(docs: DataFrame, rules: Sequence[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """By rules (words of a shingle, radius), of which any one links two texts.
+
+    Returns the documents (doc_id, text_hash, fps, node) and, for each node, the identifier and text
+    hash of its component's first document.
+    """
+    own = written(fingerprints(docs, *[w for w, _ in rules]), "fingerprints")
+    # with several rules, each has nodes of its own, and a document ties its nodes together
+    node = lambda i: F.concat(F.lit(f"{i}:"), F.col("fps")[i].cast("string")) if len(rules) > 1 else F.col("fps")[i]
+    found = None
+    for i, (_, radius) in enumerate(rules):
+        fps = written(own.select(F.col("fps")[i].alias("fp")).distinct(), "nodes")
+        new = links(fps, radius)
+        if len(rules) > 1:
+            new = new.select(*[F.concat(F.lit(f"{i}:"), F.col(c).cast("string")).alias(c) for c in ("a", "b")])
+        if i:
+            new = new.unionByName(own.select(node(0).alias("a"), node(i).alias("b")).distinct())
+        found = new if found is None else found.unionByName(new)
+    of = components(found)
+    own = own.withColumn("node", node(0))
+    first = own.groupBy(F.col("node").alias("own")).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col("text_hash").alias("hash"))).alias("first"))
+    rooted = written(first.join(of, first["own"] == of["node"], "left").select("own", "first", F.coalesce("root", "own").alias("root")), "rooted")
+    return own, rooted.select("own", "root").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select(F.col("own").alias("node"), "first")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
     """A row for each document: doc_id, fingerprint (hexadecimal), component_id, the smallest doc_id that links reach."""
-    own = written(fingerprints(docs, words), "fingerprints")
-    nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    of = components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(of, nodes["fp"] == of["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "rooted")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def deduplicated(docs: DataFrame, words: int = 5, radius: int = 7) -> DataFrame:
-    """The rows of docs with the smallest identifier of their component, one of each, with all their columns."""
+    own, of = grouped(docs, [(words, radius)])
+    return own.join(of, "node").select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), F.nullif(F.col("first.id"), F.lit(_LAST)).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, rules: Sequence[tuple[int, int]] = ((3, 3), (5, 7))) -> DataFrame:
+    """The rows of docs that come first in their component, one of each, with all their columns."""
     cols = docs.columns
-    stays = near_duplicates(docs, words, radius).select(F.col("component_id").alias("__id")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["__id"]), "left_semi").dropDuplicates(["doc_id"]).select(*cols)
+    _, of = grouped(docs, rules)
+    stays = of.select(F.col("first.id").alias("__first"), F.col("first.hash").alias("__first_hash")).distinct()
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    both = keyed.join(stays, (F.col("__id") == F.col("__first")) & (F.col("__hash") == F.col("__first_hash")), "left_semi")
+    return both.dropDuplicates(["__id", "__hash"]).select(*cols)
