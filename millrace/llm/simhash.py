@@ -283,13 +283,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
     """A row for each document: doc_id, fingerprint (hexadecimal), component_id, the smallest doc_id that links reach."""
     own, of = grouped(docs, [(words, radius)])
     return own.join(of, "node").select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), F.nullif(F.col("first.id"), F.lit(_LAST)).alias("component_id"))
-
-
-def deduplicated(docs: DataFrame, rules: Sequence[tuple[int, int]] = ((3, 3), (5, 7))) -> DataFrame:
-    """The rows of docs that come first in their component, one of each, with all their columns."""
-    cols = docs.columns
-    _, of = grouped(docs, rules)
-    stays = of.select(F.col("first.id").alias("__first"), F.col("first.hash").alias("__first_hash")).distinct()
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    both = keyed.join(stays, (F.col("__id") == F.col("__first")) & (F.col("__hash") == F.col("__first_hash")), "left_semi")
-    return both.dropDuplicates(["__id", "__hash"]).select(*cols)
