@@ -3,9 +3,9 @@
 Three strong kinds are reported wherever they match: assign (a named secret and its value), access
 (an access identifier) and hex (a long run of hexadecimal digits). Weak parts say little alone: an
 account name, an endpoint, a mixed token that could be a key. They are reported only where
-complementary parts lie within SCOPE code points of each other, found by an interval join on
-(document, bucket of SCOPE code points). A bucket holds a bounded number of parts, so no document,
-however long, makes more than a linear number of pairs.
+complementary parts are at most SCOPE code points apart, from the end of one to the start of the
+other, found by an interval join on (document, bucket of SCOPE code points). A bucket holds a bounded
+number of starts and of ends, so no document, however long, makes more than a linear number of pairs.
 
 DataFrame functions only. Positions are code points, from the lengths of what lies between matches.
 
@@ -30,7 +30,8 @@ STRONG = {
 WEAK = {
     "account": (r"""(?i:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 1, 3),
     "endpoint": (r"""(?i:https?|s3|ftps?|amqps?|mongodb|mysql|postgres(?:ql)?|redis)://[^\x00-\x20"'<>]+""", 0, 8),
-    "key": (r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])", 0, 20),
+    # what '=' and a value follow is a name
+    "key": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2})?+(?![A-Za-z0-9+/=_-])", 0, 20),
 }
 SCOPE = 256
 
@@ -60,12 +61,16 @@ def _parts(scanned: DataFrame, kinds: list[str]) -> DataFrame:
 
 def _linked(parts: DataFrame, scope: int) -> DataFrame:
     """The weak parts that complement each other: a key with an identifier or an endpoint near it, and these two."""
-    bucket = F.floor(F.col("start") / scope)
-    keys = parts.where("kind = 'key'").select("row_no", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"), F.struct("rank", "kind", "start", "end").alias("a"))
-    rest = parts.where("kind IN ('access', 'account', 'endpoint')").select("row_no", bucket.alias("bucket"), F.struct("rank", "kind", "start", "end").alias("b"))
-    pairs = keys.join(rest, ["row_no", "bucket"]).where(
-        f"b.start - a.start BETWEEN -{scope} AND {scope} AND (a.end <= b.start OR b.end <= a.start)"
-    )
+    # the part that comes first is listed under the bucket of its end, the other under that of its start
+    first, then = F.floor(F.col("end") / scope), F.floor(F.col("start") / scope)
+    part = F.struct("rank", "kind", "start", "end")
+    of = {"a": parts.where("kind = 'key'"), "b": parts.where("kind IN ('access', 'account', 'endpoint')")}
+    pairs = None
+    for x, y in (("a", "b"), ("b", "a")):
+        left = of[x].select("row_no", F.explode(F.array(first, first + 1)).alias("bucket"), part.alias(x))
+        right = of[y].select("row_no", then.alias("bucket"), part.alias(y))
+        new = left.join(right, ["row_no", "bucket"]).where(f"{y}.start - {x}.end BETWEEN 0 AND {scope}").select("row_no", "a", "b")
+        pairs = new if pairs is None else pairs.unionByName(new)
     both = pairs.select("row_no", F.explode(F.array("a", "b")).alias("x")).select("row_no", "x.*")
     return both.where("kind <> 'access'").distinct()
 
