@@ -40,7 +40,12 @@ _SPACE = re.compile(r"\s+")
 
 _words = lambda text: frozenset(text.split())
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
-RAW = _words("script style textarea title noscript template iframe svg math object canvas audio video")
+RAW = _words("script style textarea title")
+#: Elements of other namespaces, in which '/>' closes; and those whose content isn't shown as text.
+FOREIGN = _words("svg math")
+UNSEEN = _words("noscript template iframe svg canvas audio video")
+#: What is opened inside these ends nothing outside them, and their closing tag ends all in them.
+SCOPES = _words("noscript template iframe canvas audio video object")
 BLOCKS = _words("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul")
 OUT = _words("nav header footer aside form head menu select button dialog datalist")
 ROLES = _words("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar")
@@ -56,6 +61,8 @@ _KEPT = _words("html body main article")
 
 
 def _left_out(tag: str, attrs: str, inside: bool) -> bool:
+    if tag in UNSEEN:
+        return True
     if tag in OUT:
         return not (inside and tag == "header")
     if not attrs or tag in _KEPT:
@@ -90,7 +97,7 @@ class Page:
             self._parts, self._linked = [], 0
 
     def _pop_to(self, i: int) -> None:
-        if any(t in BLOCKS for t, *_ in self._stack[i:]):
+        if any(t in BLOCKS and not out for t, out, *_ in self._stack[i:]):
             self._end_block()
         for t, *_ in self._stack[i:]:
             self._opened[t] -= 1
@@ -99,18 +106,21 @@ class Page:
     def _open(self, tag: str, attrs: str) -> None:
         stack = self._stack
         if tag in BLOCKS:
-            self._end_block()
+            if not (stack and stack[-1][1]):
+                self._end_block()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p" or stack[i][0] == tag == "li":
                     self._pop_to(i)
                     break
-                if stack[i][0] in BLOCKS:
+                if stack[i][0] in BLOCKS or stack[i][0] in SCOPES:
                     break
         _, out, slot, path = stack[-1] if stack else ("", False, "body", 0)
         if tag in VOID:
-            if tag == "br":
+            if tag == "br" and not out:
                 self._parts.append(" ")
             return
+        if attrs.endswith("/") and (tag in FOREIGN or self._opened.get("svg") or self._opened.get("math")):
+            return
         out = out or _left_out(tag, attrs, slot == "article")
         if tag == "article" and not out:
             slot = "article"
@@ -128,7 +138,7 @@ class Page:
             if stack[i][0] == tag:
                 self._pop_to(i)
                 return
-            if tag not in BLOCKS and stack[i][0] in BLOCKS:
+            if tag not in BLOCKS and tag not in SCOPES and tag not in FOREIGN and stack[i][0] in BLOCKS:
                 return
         if tag == "p":
             self._end_block()
