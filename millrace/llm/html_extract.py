@@ -3,13 +3,13 @@
 Over the pages of a host, each token (a tag with its path, or a block's text with its path) has an
 occurrence vector: how often it occurs on each page. Tokens with equal vectors form an equivalence
 class; a class is valid if it has several tokens and occurs on most of the host's pages. Valid
-classes nest, by support, into the host's template: its markup tokens bound the slots, and its text
-tokens are boilerplate. A vector is kept as one number, the exclusive or of a hash of (page, count)
+classes make the host's template. Its text tokens are boilerplate in every slot, articles too; its
+markup tokens support the classes of text that comes and goes with them, but don't bound the slots. A vector is kept as one number, the exclusive or of a hash of (page, count)
 over the pages, so that classes come from grouped aggregation and a host of any size is never in one
 task. Pages of a host with the same text count once.
 
-What a page gives is what is left in its main slot: its articles, else its main element, else its
-body without the template's text and without blocks that are mostly links. Slots that their own
+What a page gives is what the template leaves of its main slot: its articles, else its main element,
+else its body without blocks that are mostly links. Slots that their own
 markup names as menus, headers, footers, sidebars, notices, adverts, forms or comments are left out
 everywhere.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -174,11 +175,12 @@ class Page:
                 return own
         return self.blocks
 
+    def kept(self) -> list[tuple[int, str]]:
+        """Token and text of the blocks of the main slot, in page order; of a body, without those that are mostly links."""
+        return [(token(path, text), text) for path, slot, text, links in self.main() if slot != "body" or links <= 0.6]
+
     def text(self, template: set[int] = frozenset()) -> str:
-        own = self.main()
-        if own and own[0][1] == "body":
-            own = [b for b in own if b[3] <= 0.6 and token(b[0], b[2]) not in template]
-        return "\n".join(b[2] for b in own)
+        return "\n".join(text for t, text in self.kept() if t not in template)
 
 
 def token(path: int, text: str) -> int:
@@ -191,27 +193,34 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return own.select("page_id", "url", "html", host.alias("host"), F.xxhash64("url", "html").alias("page"))
 
 
-def tokens(pages: DataFrame) -> DataFrame:
-    """host, page, token, is_text, n: the markup of each page, and the blocks of pages without a main slot of their own."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, alike (a hash of the main slot's text), tokens (how often a page has each, of all slots) and kept (token and text of the main slot)."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+    counted, block = pa.struct([("token", pa.int64()), ("is_text", pa.bool_()), ("n", pa.int64())]), pa.struct([("token", pa.int64()), ("text", pa.string())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for host, page, source in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
-                read, counts = Page(source), {}
-                for t in read.tags:
-                    counts[token(t, ""), False] = counts.get((token(t, ""), False), 0) + 1
-                own = read.main()
-                for path, slot, text, _ in own:
-                    if slot == "body":
-                        counts[token(path, text), True] = counts.get((token(path, text), True), 0) + 1
-                alike = token(0, "\n".join(b[2] for b in own))
-                out += [(host, alike, t, is_text, n) for (t, is_text), n in counts.items()]
-            cols = zip(*out, strict=True) if out else [[]] * 5
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["host", "alike", "token", "is_text", "n"])
-
-    return pages.select("host", "page", "html").mapInArrow(each, "host string, alike long, token long, is_text boolean, n long")
+            alike, tokens, kept = [], [], []
+            for source in batch.column("html").to_pylist():
+                page = Page(source)
+                counts = Counter((token(t, ""), False) for t in page.tags)
+                counts.update((token(path, text), True) for path, _, text, _ in page.blocks)
+                alike.append(token(0, "\n".join(b[2] for b in page.main())))
+                tokens.append([{"token": t, "is_text": is_text, "n": n} for (t, is_text), n in counts.items()])
+                kept.append([{"token": t, "text": text} for t, text in page.kept()])
+            cols = [pa.array(alike, pa.int64()), pa.array(tokens, pa.list_(counted)), pa.array(kept, pa.list_(block))]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("page_id", "url", "host")), *cols], names=["page_id", "url", "host", "alike", "tokens", "kept"])
+
+    return pages.select("page_id", "url", "host", "html").mapInArrow(each, f"page_id {kind}, url string, host string, alike long, tokens array<struct<token: long, is_text: boolean, n: long>>, kept array<struct<token: long, text: string>>")
+
+
+def tokens(pages: DataFrame) -> DataFrame:
+    """host, alike, token, is_text, n: the markup and the text blocks of each page, of all slots."""
+    return _listed(parsed(pages))
+
+
+def _listed(read: DataFrame) -> DataFrame:
+    return read.select("host", "alike", F.explode("tokens").alias("t")).select("host", "alike", "t.*")
 
 
 def templates(found: DataFrame) -> DataFrame:
@@ -227,15 +236,9 @@ def templates(found: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """A row for each page: page_id, url, text, n_chars."""
-    own = _keyed(pages)
-    boilerplate = templates(tokens(own)).where("is_text").groupBy("host").agg(F.collect_set("token").alias("boilerplate"))
+    read = written(parsed(_keyed(pages)), "parsed")
+    boilerplate = templates(_listed(read)).where("is_text").groupBy("host").agg(F.collect_set("token").alias("boilerplate"))
     # a host's template is no longer than two of its pages; it is written so that its size is known before the join
-    marked = own.join(written(boilerplate, "templates"), "host", "left").select("page_id", "url", "html", "boilerplate")
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [Page(x).text({*(t or ())}) for x, t in zip(batch.column("html").to_pylist(), batch.column("boilerplate").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return marked.mapInArrow(each, f"page_id {kind}, url string, text string, n_chars long")
+    marked = read.select("page_id", "url", "host", "kept").join(written(boilerplate, "templates"), "host", "left")
+    own = F.filter("kept", lambda b: ~F.coalesce(F.array_contains("boilerplate", b["token"]), F.lit(False)))
+    return marked.select("page_id", "url", F.array_join(F.transform(own, lambda b: b["text"]), "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

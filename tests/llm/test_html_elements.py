@@ -1,6 +1,7 @@
 """Elements that are left out, or only look closed, inside an article."""
 
 import pytest
+from llm_rows import prose
 
 from millrace.llm import html_extract
 
@@ -23,3 +24,12 @@ from millrace.llm import html_extract
 )
 def test_elements_without_text(source, text):
     assert html_extract.Page(source).text() == text
+
+
+@pytest.mark.parametrize("slot", ["article", "main", "div"])
+def test_template_of_all_slots(spark, slot):
+    """A notice that repeats on a host's pages goes wherever it stands, whatever its class is named; others stay."""
+    page = "<html><body><{0}><h1>{1}</h1><div class=zq7><p>Sign up for our letter</p></div><p>{2}</p><p>{3}</p></{0}></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(slot, f"title {i}", prose(20, i), "seldom" if i < 2 else f"other {i}")) for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"title {i}\n{prose(20, i)}\n" + ("seldom" if i < 2 else f"other {i}") for i in range(8)}
