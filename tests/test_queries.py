@@ -2,22 +2,21 @@
 
 import duckdb
 import pytest
-from conftest import DATA
 
 from millrace.plans.catalog import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")
-def duck():
+def duck(data):
     con = duckdb.connect()
-    for p in DATA.glob("*.parquet"):
+    for p in data.glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     return con
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, duck, name):
-    got = QUERIES[name](spark, str(DATA)).toPandas()
+def test_query(spark, duck, data, name):
+    got = QUERIES[name](spark, str(data)).toPandas()
     if name not in SQL:
         assert len(got)
         return
@@ -28,8 +27,8 @@ def test_query(spark, duck, name):
     assert rows(got).equals(rows(want))
 
 
-def test_pruning(spark):
-    plan = QUERIES["conditional_emit"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+def test_pruning(spark, data):
+    plan = QUERIES["conditional_emit"](spark, str(data))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(event_type), IsNotNull(value), EqualTo(event_type,purchase), GreaterThan(value,10.0)]" in plan
     assert "ReadSchema: struct<event_id:bigint,event_type:string,value:double>" in plan
 
