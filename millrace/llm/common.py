@@ -1,4 +1,4 @@
-"""What the operators share: scratch tables in the shared folder, and the words of a text."""
+"""What the operators share: scratch tables in the shared folder, the words of a text, and ways to take rows out of a table."""
 
 from __future__ import annotations
 
@@ -10,19 +10,25 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as a character class for Java and RE2 patterns.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Stands for a null identifier where identifiers are compared or the smallest one is looked for.
+LAST = 2**63 - 1
+#: A key is hot with more than one part in so many of all rows; so there are fewer hot keys than this, whatever the input.
+HOT_KEYS = 1000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written tables: spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder for written tables: spark.checkpoint.dir. Only a local session without one gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives the loss of any executor."""
+    """df as a table in the shared folder: cuts the lineage, survives the loss of any executor, and has a known size."""
     path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -45,3 +51,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only doc_id and the text, null as empty; other columns, whatever their names, take no part."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_key():
+    """What tells rows apart: the identifier and a hash of the text; rows that have both alike are repeated rows."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def without(docs: DataFrame, seen: DataFrame) -> DataFrame:
+    """The rows of docs but for those that go.
+
+    seen: id, hash (a row_key()) and stays, for every row of a group that loses any. Rows go by their
+    key; where a key that stays is there several times, one row of it does. The keys are written, so
+    that Spark knows their size: a short list is broadcast and the texts aren't shuffled at all.
+    """
+    cols = docs.columns
+    a, b = fresh(docs, "id", "hash")
+    keyed = docs.withColumns(dict(zip((a, b), row_key(), strict=True)))
+    keys = seen.groupBy(F.col("id").alias(a), F.col("hash").alias(b)).agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    keys = written(keys.where("n > 1 OR NOT stays"), "keys")
+    goes = written(keys.where("NOT stays").select(a, b), "goes")
+    left = keyed.join(goes, [a, b], "left_anti")
+    if not keys.where("stays").isEmpty():
+        several = written(keys.where("stays").select(a, b), "repeated")
+        one = left.join(several, [a, b], "left_semi").dropDuplicates([a, b])
+        left = left.join(several, [a, b], "left_anti").unionByName(one)
+    discard(keys)
+    return left.select(*cols)
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str) -> DataFrame:
+    """rows joined with keyed, which has one row for each key and how many of rows the key has.
+
+    Rows of hot keys meet a broadcast of these, of which there are fewer than HOT_KEYS; all others are joined by key.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT_KEYS > total + HOT_KEYS
+    few = F.broadcast(keyed.where(hot))
+    rest = rows.join(F.broadcast(keyed.where(hot).select(*on)), on, "left_anti").join(keyed.where(~hot), on)
+    return rows.join(few, on).unionByName(rest)

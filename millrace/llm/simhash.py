@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import id_and_text, written
+from millrace.llm.common import LAST, id_and_text, written
 from millrace.llm.components import components
 
 BITS, RADIUS, SEED = 64, 3, 42
@@ -250,10 +250,6 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.repartition("part", "sig", "low", "high").sortWithinPartitions("part", "sig", "low", "high").mapInArrow(partial(_links, radius=radius), "a long, b long")
 
 
-#: Stands for a null identifier where the smallest one is looked for.
-_LAST = 2**63 - 1
-
-
 def grouped(docs: DataFrame, rules: Sequence[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
     """By rules (words of a shingle, radius), of which any one links two texts.
 
@@ -274,7 +270,7 @@ def grouped(docs: DataFrame, rules: Sequence[tuple[int, int]]) -> tuple[DataFram
         found = new if found is None else found.unionByName(new)
     of = components(found)
     own = own.withColumn("node", node(0))
-    first = own.groupBy(F.col("node").alias("own")).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col("text_hash").alias("hash"))).alias("first"))
+    first = own.groupBy(F.col("node").alias("own")).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("text_hash").alias("hash"))).alias("first"))
     rooted = written(first.join(of, first["own"] == of["node"], "left").select("own", "first", F.coalesce("root", "own").alias("root")), "rooted")
     return own, rooted.select("own", "root").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select(F.col("own").alias("node"), "first")
 
@@ -282,4 +278,4 @@ def grouped(docs: DataFrame, rules: Sequence[tuple[int, int]]) -> tuple[DataFram
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
     """A row for each document: doc_id, fingerprint (hexadecimal), component_id, the smallest doc_id that links reach."""
     own, of = grouped(docs, [(words, radius)])
-    return own.join(of, "node").select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), F.nullif(F.col("first.id"), F.lit(_LAST)).alias("component_id"))
+    return own.join(of, "node").select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), F.nullif(F.col("first.id"), F.lit(LAST)).alias("component_id"))
