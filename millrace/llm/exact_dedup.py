@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACE, discard, id_and_text, written
+from millrace.llm.common import SPACE, row_key, spread_join, without, written
 
 FAN_IN, ROUNDS = 16, 2
 _SCHEMA = pa.schema([(x, pa.string() if x == "digest" else pa.int64()) for x in ("node", "digest", "n_bytes", "check", "keep_id", "keep_row", "group_size")])
@@ -30,12 +30,12 @@ _RUN = "node long, digest string, n_bytes long, check long, keep_id long, keep_r
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """A row for each document, with a number of its own and what identifies its normalised text."""
-    norm = F.regexp_replace("text", SPACE, " ")
-    return (
-        id_and_text(docs).withColumn("text", norm)
-        .select("doc_id", F.monotonically_increasing_id().alias("row_no"), F.spark_partition_id().cast("long").alias("node"),
-                F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("check"))
+    """A row for each document, with a number of its own and what identifies its normalised text; id and hash: its row_key()."""
+    norm = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE, " ")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(n) for c, n in zip(row_key(), ("id", "hash"), strict=True)], norm.alias("text"))
+    return own.select(
+        "doc_id", "id", "hash", F.monotonically_increasing_id().alias("row_no"), F.spark_partition_id().cast("long").alias("node"),
+        F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("check"),
     )
 
 
@@ -79,26 +79,21 @@ def tree_merge(rows: DataFrame, fan_in: int = FAN_IN, rounds: int = ROUNDS) -> D
     return run.drop("node")
 
 
+_SAME = ["digest", "n_bytes", "check"]
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
     own = written(digests(docs), "digests")
-    kept = tree_merge(own)
-    same = ["digest", "n_bytes", "check"]
-    return own.join(kept, same).select(
+    kept = written(tree_merge(own), "kept")
+    return spread_join(own, kept, _SAME, "group_size").select(
         "doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256")
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    cols = docs.columns
-    tagged = docs.withColumn("__digest", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "), 256))
+    """The rows of docs that stay, with all their columns; only keys of texts with copies meet the texts again."""
     own = written(digests(docs), "digests")
-    kept = written(tree_merge(own).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__id"), "group_size"), "kept")
-    discard(own)
-    # only texts with copies need the join; of repeated rows one is picked
-    several = kept.where("group_size > 1")
-    marked = tagged.join(several, "__digest", "left")
-    alone = marked.where("group_size IS NULL").select(*cols)
-    copies = marked.where("group_size IS NOT NULL AND doc_id <=> __id").dropDuplicates(["__digest"]).select(*cols)
-    return alone.unionByName(copies)
+    several = written(tree_merge(own).where("group_size > 1"), "kept")
+    seen = spread_join(own, several, _SAME, "group_size")
+    return without(docs, seen.select("id", "hash", (F.col("row_no") == F.col("keep_row")).alias("stays")))
