@@ -4,7 +4,8 @@ Documents are aggregated by membership pattern (the set of sources that a docume
 flow carries words from the patterns to the sources' quotas: a pattern's words may be used once at no
 cost, a second and a third time at rising costs, so that as little as possible is repeated. Then each
 pattern's flow is taken from its documents: all of them as many whole times as it holds, and the rest
-from the first ones in a seeded order, found by sums over ranges of the seeded hash.
+from the first ones in a seeded order. Where the rest ends is found by sums over ranges of the seeded
+hash and then within the one range, so each document's share follows from its own place in the order.
 
 What reaches the driver is one row for each pattern: labels of sources, not documents. Defined
 results: a null text has size 0; documents without a source form a source of their own, listed last;
@@ -17,13 +18,15 @@ import heapq
 from collections.abc import Sequence
 from itertools import cycle
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import written
+from millrace.llm.common import LAST, written
 
-MOST_REPEATS, BUCKET_BITS = 3, 12
+MOST_REPEATS, BUCKET_BITS = 3, 16
+#: Patterns up to which their plan is broadcast; with more it is joined by pattern.
+MOST_BROADCAST = 10_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float] | None = None, most: int = MOST_REPEATS) -> list[float]:
@@ -97,16 +100,30 @@ def _ordered(labels: set) -> list:
     return sorted((x for x in labels if x is not None), key=lambda x: [*map(ord, x)]) + [None] * (None in labels)
 
 
-def mix(docs: DataFrame, sources: str = "source", weights: dict | None = None, seed: int = 7, most: int = MOST_REPEATS) -> DataFrame:
-    """A row for each document: doc_id, size, source_size and target (of the first of its sources), taken, draw.
-
-    sources: a column with a label, or with an array of labels where sources overlap.
-    """
+def _labels(docs: DataFrame, sources: str) -> Column:
     many = isinstance(docs.schema[sources].dataType, T.ArrayType)
     labels = F.array_sort(F.array_distinct(F.col(sources))) if many else F.array(F.col(sources).cast("string"))
-    labels = F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit(None).cast("string")))
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    own = written(docs.select("doc_id", labels.alias("labels"), words.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw")), "sizes")
+    return F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit(None).cast("string")))
+
+
+def _place(seed: int) -> tuple[Column, Column]:
+    """The seeded order of documents: a hash, then the identifier; only repeated rows share a place."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+
+
+def _size() -> Column:
+    return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+_PLAN = "labels array<string>, source_size long, target double, times long, rest long"
+
+
+def _planned(own: DataFrame, weights: dict | None, most: int) -> DataFrame:
+    """own: labels, size, draw, id of each document. Returns a row for each pattern: _PLAN, and the place where the rest ends.
+
+    Documents before (cut_draw, cut_id) are taken once more than the others, the one there in part: cut_rest words, over
+    cut_rows repeated rows.
+    """
     found = [(r["labels"], r["words"]) for r in own.groupBy("labels").agg(F.sum("size").alias("words")).collect()]
     names = _ordered({x for ls, _ in found for x in ls})
     place = {x: i for i, x in enumerate(names)}
@@ -120,24 +137,64 @@ def mix(docs: DataFrame, sources: str = "source", weights: dict | None = None, s
     for (ls, w), flow in zip(found, flows, strict=True):
         s, total = place[ls[0]], sum(flow.values())
         told.append((ls, sizes[s], goal[s], total // w if w else 0, total % w if w else 0))
-    plan = docs.sparkSession.createDataFrame(told, "labels array<string>, source_size long, target double, times long, rest long")
-    # one row for each pattern; its documents before a range of the hash have so many words
-    bucket = F.shiftright("draw", 64 - BUCKET_BITS)
-    own = own.withColumn("bucket", bucket)
+    plan = written(own.sparkSession.createDataFrame(told, _PLAN), "flows")
+    # the range of the hash in which the rest of a pattern ends, then the document in it
+    near = lambda a, b: a["labels"].eqNullSafe(b["labels"])
+    own = own.withColumn("bucket", F.shiftright("draw", 64 - BUCKET_BITS))
     sums = own.groupBy("labels", "bucket").agg(F.sum("size").alias("words"))
-    before = sums.select("labels", "bucket", (F.sum("words").over(Window.partitionBy("labels").orderBy("bucket")) - F.col("words")).alias("before"))
-    inside = Window.partitionBy("labels", "bucket").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = own.withColumn("within", F.sum("size").over(inside) - F.col("size")).join(before, ["labels", "bucket"])
-    same = rows["labels"].eqNullSafe(plan["labels"])
-    left = F.col("rest") - F.col("before") - F.col("within")
-    taken = F.col("times") * F.col("size") + F.greatest(F.lit(0), F.least(left, F.col("size")))
-    return rows.join(F.broadcast(plan), same).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "draw")
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as many whole times as the mix takes it; a copy that the mix would cut is left out."""
-    cols, seed = docs.columns, options.setdefault("seed", 7)
-    times = mix(docs, **options).where("size > 0").groupBy(F.col("doc_id").alias("__id"), F.col("draw").alias("__draw")).agg(F.sum(F.floor(F.col("taken") / F.col("size"))).alias("__times"))
-    own = docs.withColumn("__draw", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("__id", F.col("doc_id")).dropDuplicates(["__id", "__draw"])
-    both = own.join(times.where("__times > 0").withColumnRenamed("__id", "__same").withColumnRenamed("__draw", "__same_draw"), (F.col("__id").eqNullSafe(F.col("__same"))) & (F.col("__draw") == F.col("__same_draw")))
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*cols)
+    sums = sums.withColumn("after", F.sum("words").over(Window.partitionBy("labels").orderBy("bucket")))
+    ends = sums.join(plan, near(sums, plan)).where("after > rest").groupBy(sums["labels"]).agg(F.min(F.struct("bucket", (F.col("after") - F.col("words")).alias("before"), "rest")).alias("end"))
+    ends = written(ends.select("labels", "end.*"), "ranges")
+    inside = own.join(ends, near(own, ends) & (own["bucket"] == ends["bucket"])).groupBy(own["labels"], "draw", "id", "size", "before", "rest").agg(F.count("*").alias("rows"))
+    inside = inside.withColumn("to", F.sum(F.col("size") * F.col("rows")).over(Window.partitionBy("labels").orderBy("draw", "id").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before"))
+    cut = F.struct("draw", "id", (F.col("rest") - F.col("to") + F.col("size") * F.col("rows")).alias("left"), "rows")
+    cuts = inside.where("to > rest").groupBy("labels").agg(F.min(cut).alias("cut"))
+    cuts = cuts.select(F.col("labels").alias("of"), F.col("cut.draw").alias("cut_draw"), F.col("cut.id").alias("cut_id"), F.col("cut.left").alias("cut_rest"), F.col("cut.rows").alias("cut_rows"))
+    whole = written(plan.join(cuts, plan["labels"].eqNullSafe(cuts["of"]), "left").drop("of").withColumnRenamed("labels", "pattern"), "plan")
+    return F.broadcast(whole) if len(told) <= MOST_BROADCAST else whole
+
+
+def _matched(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (labels, draw, id, ...) with the plan of their pattern; before: taken once more; at: at the cut."""
+    here, cut = F.struct("draw", "id"), F.struct(F.col("cut_draw").alias("draw"), F.col("cut_id").alias("id"))
+    none = F.lit(False)
+    both = rows.join(plan, rows["labels"].eqNullSafe(plan["pattern"]))
+    return both.withColumns({"before": F.coalesce(here < cut, none), "at": F.coalesce(here == cut, none)})
+
+
+def mix(docs: DataFrame, sources: str = "source", weights: dict | None = None, seed: int = 7, most: int = MOST_REPEATS) -> DataFrame:
+    """A row for each document: doc_id, size, source_size and target (of the first of its sources), taken.
+
+    sources: a column with a label, or with an array of labels where sources overlap.
+    """
+    draw, id_ = _place(seed)
+    own = written(docs.select("doc_id", _labels(docs, sources).alias("labels"), _size().alias("size"), draw.alias("draw"), id_.alias("id")), "sizes")
+    rows = _matched(own, _planned(own, weights, most))
+    full = rows.where("NOT at").withColumn("taken", (F.col("times") + F.col("before").cast("long")) * F.col("size"))
+    # the rows at a cut, which are repeated rows of one document, share what is left
+    cut = rows.where("at").groupBy("doc_id", "labels", "size", "source_size", "target", "times", "cut_rest").agg(F.count("*").alias("n"))
+    cut = cut.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    part = F.greatest(F.lit(0), F.least(F.col("cut_rest") - F.col("i") * F.col("size"), F.col("size")))
+    cut = cut.withColumn("taken", F.col("times") * F.col("size") + part)
+    cols = ["doc_id", "size", "source_size", "target", "taken"]
+    return full.select(*cols).unionByName(cut.select(*cols))
+
+
+def mixed(docs: DataFrame, sources: str = "source", weights: dict | None = None, seed: int = 7, most: int = MOST_REPEATS) -> DataFrame:
+    """The rows of docs, each as many whole times as the mix takes it.
+
+    A copy that the mix would cut is left out; a document without words weighs nothing and stays once.
+    Whether a row is taken again shows in its own place in the seeded order, so no row is looked up.
+    """
+    draw, id_ = _place(seed)
+    named = {"labels": _labels(docs, sources), "size": _size(), "draw": draw, "id": id_}
+    narrow = written(docs.select(*[c.alias(k) for k, c in named.items()]), "sizes")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[c.alias(k) for k, c in named.items()])
+    rows = _matched(rows, _planned(narrow, weights, most))
+    again = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("times") + F.col("before").cast("int"))
+    full = rows.where("NOT at").select("doc", again.cast("int").alias("copies"))
+    # repeated rows at a cut: one stands for all, as often as they are taken together
+    cut = rows.where("at").groupBy("labels", "draw", "id").agg(F.first("doc").alias("doc"), F.first("size").alias("size"), F.first("times").alias("times"), F.first("cut_rest").alias("left"), F.count("*").alias("n"))
+    cut = cut.select("doc", (F.col("times") * F.col("n") + F.least(F.col("n"), F.floor(F.col("left") / F.col("size")))).cast("int").alias("copies"))
+    every = full.unionByName(cut).where("copies > 0")
+    return every.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import written
 
@@ -54,16 +55,23 @@ def features(text: bytes) -> tuple[float, ...]:
     )
 
 
-def _measured(docs: DataFrame, host: str, path: str) -> DataFrame:
+def _measured(docs: DataFrame, host: str, path: str, whole: bool) -> DataFrame:
+    """doc_id, host, path and the features x of each document; whole: and doc, all its columns."""
+    kinds = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("host", T.StringType()), T.StructField("path", T.StringType())])
+    if whole:
+        kinds.add("doc", docs.schema)
+    names = [f.name for f in kinds]
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([features(memoryview(x.as_buffer()).tobytes()) for x in batch.column("text")], dtype=np.float64).reshape(-1, len(FEATURES))
+            texts = batch.column("doc").field("text") if whole else batch.column("text")
+            found = np.array([features(memoryview(x.as_buffer()).tobytes() if x.is_valid else b"") for x in texts], dtype=np.float64).reshape(-1, len(FEATURES))
             own = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_hash", "host", "path")), own], names=["doc_id", "text_hash", "host", "path", "x"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), own], names=[*names, "x"])
 
-    text = F.coalesce("text", F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), text.alias("text"))
-    return own.mapInArrow(each, "doc_id long, text_hash long, host string, path string, x array<double>")
+    text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc") if whole else F.col("text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), text)
+    return own.mapInArrow(each, T.StructType([*kinds.fields, T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
@@ -97,21 +105,22 @@ def _strength(groups: DataFrame, mean: str) -> float:
     return min(1e4, max(1.0, r["w"] / between - 1))
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", host: str = "source", path: str = "lang") -> DataFrame:
-    """A row for each document: doc_id, text_hash, score (the probability that it is good), own_score, site_score, kept."""
-    own = written(_measured(docs, host, path), "features")
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", host: str = "source", path: str = "lang", whole: bool = False) -> DataFrame:
+    """A row for each document: doc_id, score (the probability that it is good), own_score, site_score, kept; whole: and doc, a struct of all its columns."""
+    ids = ["doc_id"] + ["doc"] * whole
+    own = written(_measured(docs, host, path, whole), "features")
     sample = own.join(F.broadcast(labelled(labels, label, MOST_LABELS)), "doc_id").select("x", "y").dropDuplicates().toPandas()
     if sample["y"].nunique() < 2:
         one = F.lit(1.0)
-        return own.select("doc_id", "text_hash", one.alias("score"), one.alias("own_score"), one.alias("site_score"), F.lit(True).alias("kept"))
+        return own.select(*ids, one.alias("score"), one.alias("own_score"), one.alias("site_score"), F.lit(True).alias("kept"))
     w = fit(np.stack(sample["x"].to_list()), (sample["y"].to_numpy() > 0).astype(float))
     logit = sum((F.get("x", F.lit(i)) * float(v) for i, v in enumerate(w[:-1])), F.lit(float(w[-1])))
     clipped = F.greatest(F.lit(-12.0), F.least(F.lit(12.0), logit))
-    own = own.select("doc_id", "text_hash", "host", "path", (1 / (1 + F.exp(-clipped))).alias("p"))
+    own = own.select(*ids, "host", "path", (1 / (1 + F.exp(-clipped))).alias("p"))
     paths = written(own.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good")), "paths")
     r = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     if not r["n"]:
-        return own.select("doc_id", "text_hash", F.col("p").alias("score"), F.col("p").alias("own_score"), F.col("p").alias("site_score"), F.lit(True).alias("kept"))
+        return own.select(*ids, F.col("p").alias("score"), F.col("p").alias("own_score"), F.col("p").alias("site_score"), F.lit(True).alias("kept"))
     share = min(1 - 1e-6, max(1e-6, r["good"] / r["n"]))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("prior", F.lit(share))
     k = _strength(hosts, "prior")
@@ -125,13 +134,9 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", host: s
     site = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), site))
     both = both.withColumn("site_score", site)
     score = 1 / (1 + F.exp(-(odds(F.col("p")) + SITE_WEIGHT * (odds(F.col("site_score")) - math.log(share / (1 - share))))))
-    return both.select("doc_id", "text_hash", score.alias("score"), F.col("p").alias("own_score"), "site_score", (score >= KEEP).alias("kept"))
+    return both.select(*ids, score.alias("score"), F.col("p").alias("own_score"), "site_score", (score >= KEEP).alias("kept"))
 
 
 def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the classifier keeps, with all their columns."""
-    good = written(classify(docs, labels, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "kept")
-    same = docs["doc_id"].cast("long").eqNullSafe(good["__id"]) & (F.xxhash64(docs["text"]) == good["__hash"])
-    return docs.join(good, same, "left_semi")
-
-
+    """The rows of docs that the classifier keeps, with all their columns; a row carries its columns along, so none is looked up again."""
+    return classify(docs, labels, whole=True, **options).where("kept").select("doc.*")
