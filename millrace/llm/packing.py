@@ -3,8 +3,8 @@
 A document's ids are cut into pieces of WINDOW ids and a shorter rest. The counts of pieces by length
 (at most WINDOW numbers, whatever the input) are the histogram. Shallow combinations of lengths that
 fill a window are enumerated; non-negative least squares gives how often to repeat each so that they
-use up the histogram; the counts are rounded down, and what is left is packed greedily, largest
-first. The plan says, for the pieces of a length in a fixed order, which sequence and offset the n-th
+use up the histogram; the counts are rounded, what rounding leaves is solved for again, and the rest, a
+small share, is packed greedily, largest first. The plan says, for the pieces of a length in a fixed order, which sequence and offset the n-th
 one gets; a piece finds its number from counts by (length, part of the input), so that no task sees
 all the pieces of a length.
 
@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from millrace.llm.common import id_and_text, written
 
 WINDOW, END_ID = 4096, 2
-#: Limits of the planner, whatever the input: unused ids in a combination, choices of the second and third length, steps.
-SLACK, SECOND, THIRD, STEPS = 8, 12, 5, 300
+#: Limits of the planner, whatever the input: unused ids in a combination, its runs, choices of the second and third.
+SLACK, DEPTH, SPREAD = 8, 4, (0, 6, 3)
+#: Steps and least gain of a step of the least squares; how often it is solved, and the share that it must place for one more time.
+STEPS, LEAST, ROUNDS, SHARE = 40_000, 0.5, 3, 0.05
 #: Entries of a worker's cache of words.
 CACHED = 600_000
 
@@ -129,58 +131,65 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
 # ---------------------------------------------------------------- the plan
 
 
-def combinations(lengths: list[int], window: int) -> list[dict[int, int]]:
-    """Shallow combinations of lengths (ascending) that leave at most SLACK of a window unused."""
+def combinations(counts: dict[int, int], window: int) -> list[dict[int, int]]:
+    """Combinations of at most DEPTH runs of lengths that leave at most SLACK of a window unused, each used once at least by what counts has."""
+    lengths = sorted(counts)
+    found: dict[tuple, dict[int, int]] = {}
 
-    def fitting(room: int) -> int:
+    def spread(room: int, n: int) -> list[int]:
         i = bisect.bisect_right(lengths, room)
-        return lengths[i - 1] if i else 0
-
-    def spread(most: int, n: int) -> list[int]:
-        i = bisect.bisect_right(lengths, most)
         return [lengths[j] for j in sorted({round(k * (i - 1) / max(1, n - 1)) for k in range(n)})] if i else []
 
-    found: dict[tuple, dict[int, int]] = {}
-
-    def note(*runs: tuple[int, int]) -> None:
-        made: dict[int, int] = {}
-        for length, n in runs:
-            if length and n:
-                made[length] = made.get(length, 0) + n
-        if made and 0 <= window - sum(k * v for k, v in made.items()) <= SLACK:
-            found.setdefault(tuple(sorted(made.items())), made)
-
-    for a in lengths:
-        most = window // a
-        for n in {1, most}:
-            room = window - n * a
-            note((a, n), (fitting(room), 1))
-        for b in spread(window - a, SECOND):
-            room = window - a - b
-            note((a, 1), (b, 1), (fitting(room), 1))
-            runs = (window - a) // b
-            note((a, 1), (b, runs), (fitting(window - a - runs * b), 1))
-            for c in spread(room, THIRD):
-                note((a, 1), (b, 1), (c, 1), (fitting(room - c), 1))
+    def extended(made: dict[int, int], room: int, depth: int) -> None:
+        i = bisect.bisect_right(lengths, room)
+        last = lengths[i - 1] if i else 0
+        whole = made | {last: made.get(last, 0) + 1} if last else made
+        if room - last <= SLACK and whole.get(last, 0) <= counts.get(last, 0):
+            found.setdefault(tuple(sorted(whole.items())), whole)
+        if depth < DEPTH:
+            for length in spread(room, SPREAD[depth]) if depth < len(SPREAD) else [last] * (last > 0):
+                free = counts[length] - made.get(length, 0)
+                if free > 0:
+                    run = min(free, room // length)
+                    for n in {1, run} if depth < 2 else {run}:
+                        extended(made | {length: made.get(length, 0) + n}, room - n * length, depth + 1)
+
+    for length in lengths:
+        for n in {1, min(counts[length], window // length)}:
+            extended({length: n}, window - n * length, 1)
     return list(found.values())
 
 
-def nonnegative_least_squares(made: list[dict[int, int]], lengths: list[int], counts: np.ndarray) -> np.ndarray:
-    """x >= 0 that brings the sum of x times the combinations near the counts: accelerated projected gradient."""
-    place = {x: i for i, x in enumerate(lengths)}
-    row = np.array([place[k] for m in made for k in m])
-    col = np.array([j for j, m in enumerate(made) for _ in m])
-    val = np.array([v for m in made for v in m.values()], dtype=float)
-    scale = 1 / np.sqrt(np.maximum(counts, 1.0))  # rare lengths weigh as much as frequent ones
-    val, goal = val * scale[row], counts * scale
-    step = 1 / max(1e-12, float(np.bincount(row, val * np.bincount(col, val, len(made))[col], len(lengths)).max()))
-    x = np.zeros(len(made))
-    y, t = x, 1.0
+def nonnegative_least_squares(made: list[dict[int, int]], counts: dict[int, int]) -> np.ndarray:
+    """x >= 0 that brings the sum of x times the combinations near the counts.
+
+    Steps enter the one combination that lessens the squared error most, or take from one that is in
+    too often, by the exact amount, until none lessens it by LEAST. So few combinations are in, with
+    counts worth rounding, where steps along the gradient of all would spread the counts over all.
+    """
+    place = {k: i for i, k in enumerate(sorted(counts))}
+    goal = np.array([counts[k] for k in place], dtype=float)
+    size = np.array([len(m) for m in made])
+    row, col = np.array([place[k] for m in made for k in m]), np.repeat(np.arange(len(made)), size)
+    val, first = np.array([v for m in made for v in m.values()], dtype=float), np.append(0, np.cumsum(size))
+    norm = np.bincount(col, val * val, len(made))
+    by_row = np.argsort(row, kind="stable")
+    of, weight, since = col[by_row], val[by_row], np.searchsorted(row[by_row], np.arange(len(place) + 1))
+    x, slope = np.zeros(len(made)), np.bincount(col, val * goal[row], len(made))
+    gain = slope * slope / norm
     for _ in range(STEPS):
-        off = np.bincount(row, val * y[col], len(lengths)) - goal
-        new = np.maximum(0, y - step * np.bincount(col, val * off[row], len(made)))
-        s = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y, x, t = new + (t - 1) / s * (new - x), new, s
+        j = int(gain.argmax())
+        if gain[j] < LEAST:
+            break
+        step = max(-x[j], slope[j] / norm[j])
+        x[j] += step
+        own = slice(first[j], first[j + 1])
+        touched = [slice(since[i], since[i + 1]) for i in row[own].tolist()]
+        for at, v in zip(touched, val[own].tolist(), strict=True):
+            slope[of[at]] -= weight[at] * (v * step)
+        near = np.concatenate([of[at] for at in touched])
+        by = np.maximum(-x[near], slope[near] / norm[near])
+        gain[near] = by * (2 * slope[near] - by * norm[near])
     return x
 
 
@@ -197,15 +206,22 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, dic
     if window in left:
         use({window: 1}, left[window])
         del left[window]
-    lengths = sorted(left)
-    if made := combinations(lengths, window) if lengths else []:
-        x = nonnegative_least_squares(made, lengths, np.array([left[k] for k in lengths], dtype=float))
+    # what rounding leaves is solved for again while that places a share worth the while
+    for _ in range(ROUNDS):
+        left = {k: v for k, v in left.items() if v}
+        before = sum(left.values())
+        made = combinations(left, window)
+        if not made:
+            break
+        x = nonnegative_least_squares(made, left)
         for j in np.argsort(-x, kind="stable").tolist():
-            if x[j] < 1:
+            if x[j] < 0.5:
                 break
-            if times := min(int(x[j]), *(left[k] // v for k, v in made[j].items())):
+            if times := min(round(x[j]), *(left[k] // v for k, v in made[j].items())):
                 use(made[j], times)
-    present = [k for k in lengths if left[k]]
+        if before - sum(left.values()) < SHARE * before:
+            break
+    present = sorted(k for k, v in left.items() if v)
     while present:
         room, made = window, {}
         i = len(present)

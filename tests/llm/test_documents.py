@@ -130,6 +130,34 @@ def test_plan_uses_the_histogram_with_little_padding():
     assert packing.plan({}) == [] and packing.plan({4096: 3}) == [(3, {4096: 1})]
 
 
+@pytest.mark.parametrize("n", [20_000, 250_000])
+def test_least_squares_place_most_pieces(n, monkeypatch):
+    """Without the residual steps: what the rounded repeat counts of the first solution use."""
+    lengths = np.minimum(4095, np.random.default_rng(2).lognormal(5.5, 0.9, n).astype(int) + 1)
+    histogram = Counter(lengths.tolist())
+    left, before = Counter(histogram), sum(histogram.values())
+    made = packing.combinations(histogram, 4096)
+    assert all(4096 - 8 <= sum(k * v for k, v in m.items()) <= 4096 and all(v <= histogram[k] for k, v in m.items()) for m in made)
+    x = packing.nonnegative_least_squares(made, histogram)
+    for j in np.argsort(-x, kind="stable"):
+        times = min(round(x[j]), *(left[k] // v for k, v in made[j].items()))
+        left.subtract({k: v * times for k, v in made[j].items()})
+    assert min(left.values()) >= 0 and sum(left.values()) < 0.5 * before
+
+
+def test_least_squares_reach_the_least_error():
+    """Against projected gradient on a dense matrix."""
+    rng = np.random.default_rng(3)
+    made = [{int(k): int(rng.integers(1, 4)) for k in rng.choice(12, size=rng.integers(1, 5), replace=False)} for _ in range(30)]
+    counts = {k: int(rng.integers(1, 200)) for k in range(12)}
+    a, b = np.array([[m.get(k, 0) for m in made] for k in range(12)], dtype=float), np.array([counts[k] for k in range(12)], dtype=float)
+    x = packing.nonnegative_least_squares(made, counts)
+    y = np.zeros(30)
+    for _ in range(50_000):
+        y = np.maximum(0, y - a.T @ (a @ y - b) / np.linalg.norm(a, 2) ** 2)
+    assert (x >= 0).all() and np.sum((a @ x - b) ** 2) <= np.sum((a @ y - b) ** 2) + 30 * packing.LEAST
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(docs).collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
