@@ -17,6 +17,7 @@ from __future__ import annotations
 import bisect
 import json
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -63,7 +64,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    packed = lambda ids: np.array(ids, dtype="<u4").tobytes()
+    packed = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
     whole = lambda text: packed(tokenizer.encode(text, add_special_tokens=False).ids)
     with open(path) as f:
         if not _by_word(json.load(f)):
@@ -90,10 +91,9 @@ def encoder(path: str) -> Callable[[str], bytes]:
             return whole(word)
 
     known = Known()
-    spaces = str.maketrans("\n\t\r", "   ")
 
     def ids(text: str) -> bytes:
-        return b"".join(map(known.__getitem__, text.translate(spaces).split(" ") if not text.isascii() else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+        return b"".join(map(known.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
     return ids
 
