@@ -1,17 +1,24 @@
 """HTML extraction by equivalence-class template deduction.
 
-Over the pages of a host, each token (a tag with its path, or a block's text with its path) has an
-occurrence vector: how often it occurs on each page. Tokens with equal vectors form an equivalence
-class; a class is valid if it has several tokens and occurs on most of the host's pages. Valid
-classes make the host's template. Its text tokens are boilerplate in every slot, articles too; its
-markup tokens support the classes of text that comes and goes with them, but don't bound the slots. A vector is kept as one number, the exclusive or of a hash of (page, count)
-over the pages, so that classes come from grouped aggregation and a host of any size is never in one
-task. Pages of a host with the same text count once.
-
-What a page gives is what the template leaves of its main slot: its articles, else its main element,
-else its body without blocks that are mostly links. Slots that their own
-markup names as menus, headers, footers, sidebars, notices, adverts, forms or comments are left out
-everywhere.
+Each page is parsed once into markup tokens (an element's start and end, under the elements around it)
+and text tokens (a block's text under its elements). Over the pages of a host a token has an occurrence
+vector: how often it occurs on each page. Tokens with equal vectors form an equivalence class; a class is
+valid if it has several tokens and occurs on enough of the host's pages. Valid classes nest: where an
+element's class is valid, so are those of all elements around it, so the classes' markup makes a tree,
+each class in a slot of the class above it. That tree is the host's template. A vector is kept as one
+number, the exclusive or of a hash of (page, count) over the pages, so that classes come from grouped
+aggregation and a host of any size is never in one task. Pages of a host with the same text count once.
+
+Text in valid classes that occur on most pages belongs to the template and goes, in every slot. What is
+left fills the slots between the template's markup; a slot is judged as a whole, over all pages of its
+host: one that the same few texts fill again and again holds adverts or notices, one outside articles
+that is mostly links is a menu, and both go. The rest of a page's main slots, those in articles, else in a
+main element, else in the body, is its text. Containers that their own markup names as menus, headers,
+footers, sidebars, notices, adverts, forms or comments are left out everywhere; such a name on a
+paragraph, heading, cell or list item says nothing.
+
+Occurrence vectors say nothing where there is nothing to compare with: hosts with fewer than LEAST_PAGES
+different pages have a template without text, and their slots are judged by what there is.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; repeated
 rows give equal results; an empty table gives an empty result; further columns take no part.
@@ -23,16 +30,22 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import spread_join, written
 
-#: A class is part of the template if it has so many tokens and occurs on so many pages and so large a share of its host's.
-LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 2, 4, 0.5
+#: A class is valid if it has so many tokens and occurs on so many pages and so large a share of its host's; and with text, on so large a one.
+LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE, TEXT_SHARE = 2, 3, 0.1, 0.5
+#: A slot goes that is filled so often, by different texts in at most this share; or whose letters are in links by more than this.
+LEAST_FILLED, VARIETY, LINKED = 8, 0.25, 0.6
+#: Containers below so many others bound no slots of their own.
+DEEPEST = 64
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -50,41 +63,68 @@ SCOPES = _words("noscript template iframe canvas audio video object")
 BLOCKS = _words("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul")
 OUT = _words("nav header footer aside form head menu select button dialog datalist")
 ROLES = _words("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar")
-#: Words of class and id that name what isn't the article; those of the second set only outside an article.
+#: Words of class and id that name what isn't the article; those of the second set only outside an article; and words that go with them.
 NAMED = _words(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices popup modal overlay "
     "newsletter subscribe subscription signup sidebar widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs menu nav navbar navigation "
     "footer comment comments disqus respond replies pagination pager login paywall skip"
 )
 NAMED_OUTSIDE = _words("header masthead topbar toolbar search alert alerts aside meta byline copyright legal")
+BESIDE = _words("area bar block body box bottom button buttons column container content form global group icons inner items left link links list main module outer page panel post posts primary right row secondary section site sticky thread top wrap wrapper")
 _LAYOUT = _words("has with no without")
 _KEPT = _words("html body main article")
+#: Elements that hold a line of text, not a slot; their names don't count.
+LINES = _words("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot pre blockquote figcaption summary legend address center hr")
 
 
-def _left_out(tag: str, attrs: str, inside: bool) -> bool:
+def _named(value: str, names: frozenset) -> bool:
+    """Whether a class or identifier is a name, alone or with words that go with one."""
+    for own in value.lower().split():
+        parts = _WORD.findall(own)
+        if own in names or any(x in names for x in parts) and all(x in names or x in BESIDE or x.isdigit() for x in parts):
+            return True
+    return False
+
+
+def _left_out(tag: str, named: dict[str, str], inside: bool) -> bool:
     if tag in UNSEEN:
         return True
     if tag in OUT:
         return not (inside and tag == "header")
-    if not attrs or tag in _KEPT:
+    if not named or tag in _KEPT:
         return False
-    named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     if "hidden" in named or named.get("aria-hidden", "").lower() == "true" or "display:none" in named.get("style", "").replace(" ", "").lower():
         return True
     if named.get("role", "").lower() in ROLES:
         return True
-    words = {*_WORD.findall(f"{named.get('class', '')} {named.get('id', '')}".lower())}
-    return bool(words & NAMED or not inside and words & NAMED_OUTSIDE) and not words & _LAYOUT
+    if tag in LINES:
+        return False
+    value = f"{named.get('class', '')} {named.get('id', '')}"
+    if _LAYOUT & {*_WORD.findall(value.lower())}:
+        return False
+    return _named(value, NAMED) or not inside and _named(value, NAMED_OUTSIDE)
+
+
+@lru_cache(maxsize=1 << 15)
+def element(path: int, tag: str, attrs: str, inside: bool) -> tuple[int, bool, bool]:
+    """The path of an element (its tag, class, identifier and role, under a path), whether it is left out, and whether it is a main element."""
+    named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
+    role = named.get("role", "").lower()
+    return token(path, f"{tag} {named.get('class', '')} {named.get('id', '')} {role}"), _left_out(tag, named, inside), tag == "main" or role == "main"
 
 
 class Page:
-    """blocks: (path, slot, text, share of its letters in links) in page order; slot: article, main or body; a path is a hash. tags: paths of the markup."""
+    """A parsed page.
+
+    blocks: (slots, where, text, letters in links) in page order; slots: the paths of the containers around it, from the outermost;
+    where: article, main or body; the path of the block itself comes last. markup: the paths of all elements.
+    """
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[int, str, str, float]] = []
-        self.tags: list[int] = []
+        self.blocks: list[tuple[tuple[int, ...], str, str, int]] = []
+        self.markup: Counter[int] = Counter()
         self._parts: list[str] = []
-        self._stack: list[tuple[str, bool, str, int]] = []  # tag, left out, slot, path
+        self._stack: list[tuple[str, bool, str, int, tuple[int, ...]]] = []  # tag, left out, where, path, slots
         self._opened: dict[str, int] = {}
         self._linked = 0
         self._read(source)
@@ -93,8 +133,8 @@ class Page:
         if self._parts:
             text = _SPACE.sub(" ", entities.unescape("".join(self._parts))).strip()
             if text:
-                _, _, slot, path = self._stack[-1] if self._stack else ("", False, "body", 0)
-                self.blocks.append((path, slot, text, self._linked / len(text)))
+                _, _, where, path, slots = self._stack[-1] if self._stack else ("", False, "body", 0, ())
+                self.blocks.append(((*slots, path), where, text, min(self._linked, len(text))))
             self._parts, self._linked = [], 0
 
     def _pop_to(self, i: int) -> None:
@@ -115,23 +155,26 @@ class Page:
                     break
                 if stack[i][0] in BLOCKS or stack[i][0] in SCOPES:
                     break
-        _, out, slot, path = stack[-1] if stack else ("", False, "body", 0)
+        _, out, where, path, slots = stack[-1] if stack else ("", False, "body", 0, ())
         if tag in VOID:
             if tag == "br" and not out:
                 self._parts.append(" ")
             return
         if attrs.endswith("/") and (tag in FOREIGN or self._opened.get("svg") or self._opened.get("math")):
             return
-        out = out or _left_out(tag, attrs, slot == "article")
-        if tag == "article" and not out:
-            slot = "article"
-        elif slot == "body" and (tag == "main" or "role" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs)):
-            slot = "main"
-        if tag in BLOCKS:
-            path = token(path, tag)
-            self.tags.append(path)
+        if not out:
+            own, out, main = element(path, tag, attrs, where == "article")
+            if tag == "article" and not out:
+                where = "article"
+            elif where == "body" and main:
+                where = "main"
+            if tag in BLOCKS:
+                path = own
+                self.markup[own] += 1
+                if tag not in LINES and len(slots) < DEEPEST:
+                    slots = (*slots, own)
         self._opened[tag] = self._opened.get(tag, 0) + 1
-        stack.append((tag, out, slot, path))
+        stack.append((tag, out, where, path, slots))
 
     def _close(self, tag: str) -> None:
         stack = self._stack
@@ -152,7 +195,7 @@ class Page:
             if end > at and not (self._stack and self._stack[-1][1]):
                 text = source[at:end]
                 self._parts.append(text)
-                if any(t == "a" for t, *_ in self._stack[-3:]):
+                if self._opened.get("a") and any(t[0] == "a" for t in self._stack[-3:]):
                     self._linked += len(text)
             if not m:
                 break
@@ -163,24 +206,23 @@ class Page:
             if m[1] or m[4]:
                 self._close(tag)
             elif tag in RAW:
-                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
+                close = _closing(tag).search(source, at)
                 at = close.end() if close else n
             else:
                 self._open(tag, m[3] or m[6] or "")
         self._end_block()
 
-    def main(self) -> list[tuple[int, str, str, float]]:
-        for slot in ("article", "main"):
-            if own := [b for b in self.blocks if b[1] == slot or slot == "main" and b[1] == "article"]:
+    def main(self) -> list[tuple[tuple[int, ...], str, str, int]]:
+        """The blocks of the articles, else of the main element, else of the body."""
+        for where in ("article", "main"):
+            if own := [b for b in self.blocks if b[1] == where or where == "main" and b[1] == "article"]:
                 return own
         return self.blocks
 
-    def kept(self) -> list[tuple[int, str]]:
-        """Token and text of the blocks of the main slot, in page order; of a body, without those that are mostly links."""
-        return [(token(path, text), text) for path, slot, text, links in self.main() if slot != "body" or links <= 0.6]
 
-    def text(self, template: set[int] = frozenset()) -> str:
-        return "\n".join(text for t, text in self.kept() if t not in template)
+@lru_cache(maxsize=8)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE)
 
 
 def token(path: int, text: str) -> int:
@@ -193,52 +235,96 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return own.select("page_id", "url", "html", host.alias("host"), F.xxhash64("url", "html").alias("page"))
 
 
+_PARSED = "host string, alike long, tokens array<long>, is_text array<boolean>, counts array<int>, blocks array<struct<token: long, slots: array<long>, article: boolean, links: int, text: string>>"
+
+
+def _lists(values: list, sizes: list[int], kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
+
+
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, alike (a hash of the main slot's text), tokens (how often a page has each, of all slots) and kept (token and text of the main slot)."""
+    """page_id, url, host, alike (a hash of the main slots' text), tokens, is_text and counts (how often the page has each), and the blocks of the main slots."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    counted, block = pa.struct([("token", pa.int64()), ("is_text", pa.bool_()), ("n", pa.int64())]), pa.struct([("token", pa.int64()), ("text", pa.string())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike, tokens, kept = [], [], []
+            alike, tokens, texts, counts, sizes = [], [], [], [], []
+            own, slots, article, links, shown, depths, blocks = [], [], [], [], [], [], []
             for source in batch.column("html").to_pylist():
                 page = Page(source)
-                counts = Counter((token(t, ""), False) for t in page.tags)
-                counts.update((token(path, text), True) for path, _, text, _ in page.blocks)
-                alike.append(token(0, "\n".join(b[2] for b in page.main())))
-                tokens.append([{"token": t, "is_text": is_text, "n": n} for (t, is_text), n in counts.items()])
-                kept.append([{"token": t, "text": text} for t, text in page.kept()])
-            cols = [pa.array(alike, pa.int64()), pa.array(tokens, pa.list_(counted)), pa.array(kept, pa.list_(block))]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, ("page_id", "url", "host")), *cols], names=["page_id", "url", "host", "alike", "tokens", "kept"])
-
-    return pages.select("page_id", "url", "host", "html").mapInArrow(each, f"page_id {kind}, url string, host string, alike long, tokens array<struct<token: long, is_text: boolean, n: long>>, kept array<struct<token: long, text: string>>")
-
-
-def tokens(pages: DataFrame) -> DataFrame:
-    """host, alike, token, is_text, n: the markup and the text blocks of each page, of all slots."""
-    return _listed(parsed(pages))
-
-
-def _listed(read: DataFrame) -> DataFrame:
-    return read.select("host", "alike", F.explode("tokens").alias("t")).select("host", "alike", "t.*")
-
-
-def templates(found: DataFrame) -> DataFrame:
-    """host, token, is_text, level of the valid classes; level 1 is the class that most pages share."""
-    found = found.groupBy("host", "token", "is_text", "alike").agg(F.max("n").alias("n"))
+                main = page.main()
+                found = Counter(token(b[0][-1], b[2]) for b in page.blocks)
+                tokens += [*page.markup, *found]
+                texts += [False] * len(page.markup) + [True] * len(found)
+                counts += [*page.markup.values(), *found.values()]
+                sizes.append(len(page.markup) + len(found))
+                alike.append(token(0, "\n".join(b[2] for b in main)))
+                blocks.append(len(main))
+                for around, where, text, linked in main:
+                    own.append(token(around[-1], text))
+                    slots += around[:-1]
+                    depths.append(len(around) - 1)
+                    article.append(where == "article")
+                    links.append(linked)
+                    shown.append(text)
+            fields = {"token": pa.array(own, pa.int64()), "slots": _lists(slots, depths, pa.int64()), "article": pa.array(article, pa.bool_()), "links": pa.array(links, pa.int32()), "text": pa.array(shown, pa.string())}
+            block = pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
+            cols = [pa.array(alike, pa.int64()), _lists(tokens, sizes, pa.int64()), _lists(texts, sizes, pa.bool_()), _lists(counts, sizes, pa.int32()), _lists(block, blocks, block.type)]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("page_id", "url", "host")), *cols], names=["page_id", "url", "host", "alike", "tokens", "is_text", "counts", "blocks"])
+
+    return pages.select("page_id", "url", "host", "html").mapInArrow(each, f"page_id {kind}, url string, {_PARSED}")
+
+
+def tokens(read: DataFrame) -> DataFrame:
+    """host, alike, token, is_text, n: the markup and the text blocks of each different page of a host."""
+    once = read.select("host", "alike", F.explode(F.arrays_zip("tokens", "is_text", "counts")).alias("t"))
+    return once.groupBy("host", F.col("t.tokens").alias("token"), F.col("t.is_text").alias("is_text"), "alike").agg(F.max("t.counts").alias("n"))
+
+
+def templates(read: DataFrame) -> DataFrame:
+    """A row for each host: host, rows, markup (the elements in its valid classes) and boilerplate (the texts in those on most pages).
+
+    Each token of a class on a share of the pages takes as much of these as pages have on average, so
+    that both are no longer than some pages of the host.
+    """
+    found = tokens(read)
     vectors = found.groupBy("host", "token", "is_text").agg(F.count("*").alias("support"), F.bit_xor(F.xxhash64("alike", "n")).alias("vector"))
-    pages = found.groupBy("host", "alike").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
-    classes = vectors.groupBy("host", "support", "vector").agg(F.count("*").alias("size"))
-    valid = classes.join(pages, "host").where((F.col("size") >= LEAST_TOKENS) & (F.col("support") >= LEAST_PAGES) & (F.col("support") >= F.col("pages") * LEAST_SHARE))
-    level = F.ceil(F.log2(F.col("pages") / F.col("support"))) + 1
-    return vectors.join(valid.select("host", "support", "vector", level.cast("int").alias("level")), ["host", "support", "vector"]).select("host", "token", "is_text", "level")
+    vectors = written(vectors.where(F.col("support") >= LEAST_PAGES), "vectors")
+    hosts = read.groupBy("host", "alike").agg(F.count("*").alias("n")).groupBy("host").agg(F.count("*").alias("pages"), F.sum("n").alias("rows"))
+    # an element's start and end are two tokens
+    classes = vectors.groupBy("host", "support", "vector").agg(F.sum(F.when(F.col("is_text"), 1).otherwise(2)).alias("size"))
+    share = F.when(F.col("is_text"), TEXT_SHARE).otherwise(LEAST_SHARE)
+    valid = vectors.join(classes.where(F.col("size") >= LEAST_TOKENS), ["host", "support", "vector"]).join(hosts, "host").where(F.col("support") >= F.col("pages") * share)
+    own = valid.groupBy("host").agg(F.collect_set(F.when(~F.col("is_text"), F.col("token"))).alias("markup"), F.collect_set(F.when(F.col("is_text"), F.col("token"))).alias("boilerplate"))
+    none = F.array().cast("array<long>")
+    return hosts.join(own, "host", "left").select("host", "rows", F.coalesce("markup", none).alias("markup"), F.coalesce("boilerplate", none).alias("boilerplate"))
+
+
+def _slotted(read: DataFrame) -> DataFrame:
+    """page_id, url, host, alike and found, the texts that the template leaves, each with the innermost slot that the template bounds."""
+    both = spread_join(read.select("page_id", "url", "host", "alike", "blocks"), written(templates(read), "templates"), ["host"], "rows")
+    inner = lambda b: F.filter(b["slots"], lambda s: F.array_contains("markup", s))
+    slot = lambda b: F.coalesce(F.try_element_at(inner(b), F.lit(-1)), F.try_element_at(b["slots"], F.lit(-1)), F.lit(0).cast("long"))
+    left = F.filter("blocks", lambda b: ~F.array_contains("boilerplate", b["token"]))
+    found = F.transform(left, lambda b: F.struct(slot(b).alias("slot"), b["article"].alias("article"), b["links"].alias("links"), b["text"].alias("text")))
+    return both.select("page_id", "url", "host", "alike", found.alias("found"))
+
+
+def _emptied(found: DataFrame) -> DataFrame:
+    """host, rows, slots: for each host the slots that go."""
+    each = found.select("host", "alike", F.explode("found").alias("f")).select("host", "alike", "f.*")
+    texts = each.groupBy("host", "slot", "article", F.xxhash64("text").alias("text")).agg(F.count_distinct("alike").alias("n"), F.first(F.length("text")).alias("letters"), F.max("links").alias("links"))
+    slots = texts.groupBy("host", "slot", "article").agg(F.sum("n").alias("filled"), F.count("*").alias("texts"), F.sum(F.col("letters") * F.col("n")).alias("letters"), F.sum(F.col("links") * F.col("n")).alias("links"))
+    again = (F.col("filled") >= LEAST_FILLED) & (F.col("texts") <= VARIETY * F.col("filled"))
+    menu = ~F.col("article") & (F.col("links") > LINKED * F.col("letters"))
+    rows = found.groupBy("host").agg(F.count("*").alias("rows"))
+    return rows.join(slots.where(again | menu).groupBy("host").agg(F.collect_set("slot").alias("slots")), "host", "left")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """A row for each page: page_id, url, text, n_chars."""
     read = written(parsed(_keyed(pages)), "parsed")
-    boilerplate = templates(_listed(read)).where("is_text").groupBy("host").agg(F.collect_set("token").alias("boilerplate"))
-    # a host's template is no longer than two of its pages; it is written so that its size is known before the join
-    marked = read.select("page_id", "url", "host", "kept").join(written(boilerplate, "templates"), "host", "left")
-    own = F.filter("kept", lambda b: ~F.coalesce(F.array_contains("boilerplate", b["token"]), F.lit(False)))
-    return marked.select("page_id", "url", F.array_join(F.transform(own, lambda b: b["text"]), "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    found = written(_slotted(read), "slotted")
+    both = spread_join(found, written(_emptied(found), "slots"), ["host"], "rows")
+    left = F.filter("found", lambda f: ~F.coalesce(F.array_contains("slots", f["slot"]), F.lit(False)))
+    return both.select("page_id", "url", F.array_join(F.transform(left, lambda f: f["text"]), "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -145,8 +145,9 @@ def test_least_squares_place_most_pieces(n, monkeypatch):
     assert min(left.values()) >= 0 and sum(left.values()) < 0.5 * before
 
 
-def test_least_squares_reach_the_least_error():
-    """Against projected gradient on a dense matrix."""
+def test_least_squares_reach_the_least_error(monkeypatch):
+    """Against projected gradient on a dense matrix, where steps go on until none gains anything."""
+    monkeypatch.setattr(packing, "LEAST", 1e-12)
     rng = np.random.default_rng(3)
     made = [{int(k): int(rng.integers(1, 4)) for k in rng.choice(12, size=rng.integers(1, 5), replace=False)} for _ in range(30)]
     counts = {k: int(rng.integers(1, 200)) for k in range(12)}
@@ -155,7 +156,7 @@ def test_least_squares_reach_the_least_error():
     y = np.zeros(30)
     for _ in range(50_000):
         y = np.maximum(0, y - a.T @ (a @ y - b) / np.linalg.norm(a, 2) ** 2)
-    assert (x >= 0).all() and np.sum((a @ x - b) ** 2) <= np.sum((a @ y - b) ** 2) + 30 * packing.LEAST
+    assert (x >= 0).all() and np.sum((a @ x - b) ** 2) <= np.sum((a @ y - b) ** 2) * 1.001 + 1e-3
 
 
 def test_mixing(docs, rows):
