@@ -50,7 +50,6 @@ DEEPEST = 64
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z0-9]+")
-_SPACE = re.compile(r"\s+")
 
 _words = lambda text: frozenset(text.split())
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
@@ -131,7 +130,7 @@ class Page:
 
     def _end_block(self) -> None:
         if self._parts:
-            text = _SPACE.sub(" ", entities.unescape("".join(self._parts))).strip()
+            text = " ".join(entities.unescape("".join(self._parts)).split())
             if text:
                 _, _, where, path, slots = self._stack[-1] if self._stack else ("", False, "body", 0, ())
                 self.blocks.append(((*slots, path), where, text, min(self._linked, len(text))))
