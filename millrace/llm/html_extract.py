@@ -35,7 +35,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import spread_join, written
@@ -234,7 +234,7 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return own.select("page_id", "url", "html", host.alias("host"), F.xxhash64("url", "html").alias("page"))
 
 
-_PARSED = "host string, alike long, tokens array<long>, is_text array<boolean>, counts array<int>, blocks array<struct<token: long, slots: array<long>, article: boolean, links: int, text: string>>"
+_PARSED = "host string, alike long, tokens array<long>, is_text array<boolean>, counts array<int>, own array<long>, slots array<array<long>>, article array<boolean>, links array<int>, letters array<int>, shown array<string>"
 
 
 def _lists(values: list, sizes: list[int], kind: pa.DataType) -> pa.ListArray:
@@ -242,7 +242,7 @@ def _lists(values: list, sizes: list[int], kind: pa.DataType) -> pa.ListArray:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, alike (a hash of the main slots' text), tokens, is_text and counts (how often the page has each), and the blocks of the main slots."""
+    """page_id, url, host, alike (a hash of the main slots' text); tokens, is_text and counts (how often the page has each); and of the blocks of the main slots their own token, slots, whether in an article, letters in links, letters and text."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,10 +266,11 @@ def parsed(pages: DataFrame) -> DataFrame:
                     article.append(where == "article")
                     links.append(linked)
                     shown.append(text)
-            fields = {"token": pa.array(own, pa.int64()), "slots": _lists(slots, depths, pa.int64()), "article": pa.array(article, pa.bool_()), "links": pa.array(links, pa.int32()), "text": pa.array(shown, pa.string())}
-            block = pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
-            cols = [pa.array(alike, pa.int64()), _lists(tokens, sizes, pa.int64()), _lists(texts, sizes, pa.bool_()), _lists(counts, sizes, pa.int32()), _lists(block, blocks, block.type)]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, ("page_id", "url", "host")), *cols], names=["page_id", "url", "host", "alike", "tokens", "is_text", "counts", "blocks"])
+            letters = [len(x) for x in shown]
+            cols = [pa.array(alike, pa.int64()), _lists(tokens, sizes, pa.int64()), _lists(texts, sizes, pa.bool_()), _lists(counts, sizes, pa.int32())]
+            cols += [_lists(x, blocks, k) for x, k in ((own, pa.int64()), (_lists(slots, depths, pa.int64()), None), (article, pa.bool_()), (links, pa.int32()), (letters, pa.int32()), (shown, pa.string()))]
+            names = ["page_id", "url", "host", "alike", "tokens", "is_text", "counts", "own", "slots", "article", "links", "letters", "shown"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("page_id", "url", "host")), *cols], names=names)
 
     return pages.select("page_id", "url", "host", "html").mapInArrow(each, f"page_id {kind}, url string, {_PARSED}")
 
@@ -299,31 +300,34 @@ def templates(read: DataFrame) -> DataFrame:
     return hosts.join(own, "host", "left").select("host", "rows", F.coalesce("markup", none).alias("markup"), F.coalesce("boilerplate", none).alias("boilerplate"))
 
 
-def _slotted(read: DataFrame) -> DataFrame:
-    """page_id, url, host, alike and found, the texts that the template leaves, each with the innermost slot that the template bounds."""
-    both = spread_join(read.select("page_id", "url", "host", "alike", "blocks"), written(templates(read), "templates"), ["host"], "rows")
-    inner = lambda b: F.filter(b["slots"], lambda s: F.array_contains("markup", s))
-    slot = lambda b: F.coalesce(F.try_element_at(inner(b), F.lit(-1)), F.try_element_at(b["slots"], F.lit(-1)), F.lit(0).cast("long"))
-    left = F.filter("blocks", lambda b: ~F.array_contains("boilerplate", b["token"]))
-    found = F.transform(left, lambda b: F.struct(slot(b).alias("slot"), b["article"].alias("article"), b["links"].alias("links"), b["text"].alias("text")))
-    return both.select("page_id", "url", "host", "alike", found.alias("found"))
+def _slot(block: Column) -> Column:
+    """The innermost slot around a block that the template's markup bounds; of a host without one, the innermost container."""
+    inner = F.filter(block["slots"], lambda x: F.array_contains("markup", x))
+    return F.coalesce(F.try_element_at(inner, F.lit(-1)), F.try_element_at(block["slots"], F.lit(-1)), F.lit(0).cast("long"))
 
 
-def _emptied(found: DataFrame) -> DataFrame:
-    """host, rows, slots: for each host the slots that go."""
-    each = found.select("host", "alike", F.explode("found").alias("f")).select("host", "alike", "f.*")
-    texts = each.groupBy("host", "slot", "article", F.xxhash64("text").alias("text")).agg(F.count_distinct("alike").alias("n"), F.first(F.length("text")).alias("letters"), F.max("links").alias("links"))
+def _left(*columns: str) -> Column:
+    """The blocks that aren't the template's own text, with the given columns."""
+    return F.filter(F.arrays_zip("own", "slots", *columns), lambda b: ~F.array_contains("boilerplate", b["own"]))
+
+
+def _emptied(read: DataFrame, hosts: DataFrame) -> DataFrame:
+    """hosts with gone, the slots that go, judged by what fills them on the different pages of the host; the texts themselves aren't read."""
+    both = spread_join(read.select("host", "alike", "own", "slots", "article", "links", "letters"), hosts, ["host"], "rows")
+    blocks = F.transform(_left("article", "links", "letters"), lambda b: F.struct(_slot(b).alias("slot"), b["article"].alias("article"), b["own"].alias("own"), b["links"].alias("links"), b["letters"].alias("letters")))
+    each = both.select("host", "alike", F.explode(blocks).alias("b")).select("host", "alike", "b.*")
+    texts = each.groupBy("host", "slot", "article", "own").agg(F.count_distinct("alike").alias("n"), F.max("letters").alias("letters"), F.max("links").alias("links"))
     slots = texts.groupBy("host", "slot", "article").agg(F.sum("n").alias("filled"), F.count("*").alias("texts"), F.sum(F.col("letters") * F.col("n")).alias("letters"), F.sum(F.col("links") * F.col("n")).alias("links"))
     again = (F.col("filled") >= LEAST_FILLED) & (F.col("texts") <= VARIETY * F.col("filled"))
     menu = ~F.col("article") & (F.col("links") > LINKED * F.col("letters"))
-    rows = found.groupBy("host").agg(F.count("*").alias("rows"))
-    return rows.join(slots.where(again | menu).groupBy("host").agg(F.collect_set("slot").alias("slots")), "host", "left")
+    gone = slots.where(again | menu).groupBy("host").agg(F.collect_set("slot").alias("gone"))
+    return hosts.join(gone, "host", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<long>")))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """A row for each page: page_id, url, text, n_chars."""
     read = written(parsed(_keyed(pages)), "parsed")
-    found = written(_slotted(read), "slotted")
-    both = spread_join(found, written(_emptied(found), "slots"), ["host"], "rows")
-    left = F.filter("found", lambda f: ~F.coalesce(F.array_contains("slots", f["slot"]), F.lit(False)))
-    return both.select("page_id", "url", F.array_join(F.transform(left, lambda f: f["text"]), "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    hosts = written(_emptied(read, written(templates(read), "templates")), "hosts")
+    both = spread_join(read.select("page_id", "url", "host", "own", "slots", "shown"), hosts, ["host"], "rows")
+    left = F.filter(_left("shown"), lambda b: ~F.array_contains("gone", _slot(b)))
+    return both.select("page_id", "url", F.array_join(F.transform(left, lambda b: b["shown"]), "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
