@@ -8,6 +8,7 @@ from llm_rows import DOCUMENTS, prose, row
 from pyspark.sql import functions as F
 
 from millrace.llm import html_extract, quality, topk, toxicity
+from millrace.llm.common import written
 
 
 @pytest.mark.parametrize("shard", [4096, 50])
@@ -19,22 +20,57 @@ def test_top_k(spark, shard, monkeypatch):
     x[100:160] = x[100]  # ties
     rows = [(i, [float(v) for v in v], 1) for i, v in enumerate(x)]
     rows += [(300, None, 1), (350, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (400, [float("nan")] * 6, 1), (450, [math.inf] * 6, 1), (500, [1.0, 2.0], 1), (501, [3.0, 1.0], 1), (None, [1.0] * 6, 1), (550, [], 1)]
-    df = spark.createDataFrame([*rows, rows[3]], "vec_id long, embedding array<double>, shard int")
+    rows += [rows[3], rows[50], (50, [9.0, 0.0, 0.0, 0.0, 0.0, 0.0], 1), (7, [4.0, 4.0, 4.0, 4.0, 4.0, 4.0], 1)]  # repeated rows, and identifiers with several vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard int")
     got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()]
-    whole = {i: np.floor(256 * np.array(v)).astype(int) for i, v, _ in rows if i is not None and v is not None and all(e is not None and math.isfinite(e) for e in v)}
+    whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v, _ in rows if v is not None and all(e is not None and math.isfinite(e) for e in v)]
     want = []
-    for q in whole:
-        if q % 50 == 0:
-            found = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:5]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(found)]
-    assert sorted(got) == sorted(want)
+    for n, (q, own) in enumerate(whole):
+        if q is not None and q % 50 == 0:
+            found = sorted((-int(own @ v), i is None, i or 0) for m, (i, v) in enumerate(whole) if n != m and len(v) == len(own))[:5]
+            want += [(q, k + 1, None if none else i, -s) for k, (s, none, i) in enumerate(found)]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(got, key=key) == sorted(want, key=key)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_top_k_of_large_numbers(spark):
-    df = spark.createDataFrame([(0, [2.0**21, 1.0]), (1, [2.0**21, 3.0]), (2, [2.0**21, 2.0])], "vec_id long, embedding array<double>")
-    got = topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()
-    assert [(r.vec_id, r.score) for r in got] == [(1, 2**58 + 256 * 768), (2, 2**58 + 256 * 512)]
+@pytest.mark.parametrize(("x", "score"), [(2.0**21, 2**58 + 256 * 768), (2.0**25, None), (2.0**60, None)])
+def test_top_k_of_large_numbers(spark, x, score):
+    df = spark.createDataFrame([(0, [x, 1.0]), (1, [x, 3.0]), (2, [-x, 2.0])], "vec_id long, embedding array<double>")
+    found = lambda: [(r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    if score is None:
+        with pytest.raises(Exception, match="does not fit a long"):
+            found()
+    else:
+        assert found() == [(1, score), (2, -(2**58) + 256 * 512)]
+
+
+def test_clustered_queries_reach_few_shards(spark, monkeypatch):
+    """Far from other clusters, a query goes to its own only; a third of the rows are one vector, in shards of their own."""
+    monkeypatch.setattr(topk, "SHARD", 64)
+    rng, sent = np.random.default_rng(4), []
+    centres = np.eye(8) * 100
+    x = np.round(centres[np.arange(1600) % 8] + rng.normal(size=(1600, 8)), 2)
+    x = np.concatenate([x, np.repeat(x[:1], 800, axis=0)])
+    df = spark.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    routed = topk._routed
+
+    def told(boxes):
+        sent.append(sum(len(b[0]) for b in boxes.values()))
+        return routed(boxes)
+
+    monkeypatch.setattr(topk, "_routed", told)
+    made = []
+    monkeypatch.setattr(topk, "written", lambda df, tag: made.append((tag, written(df, tag))) or made[-1][1])
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    whole = np.floor(256 * x).astype(int)
+    want = []
+    for q in range(0, len(x), 50):
+        order = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(order)]
+    assert got == sorted(want)
+    shards = made[[t for t, _ in made].index("shards")][1]
+    assert shards.groupBy("shard").count().agg(F.max("count")).first()[0] <= 2 * 64 + 32 and sent[0] > 20
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a="</p>";</script></head><body class="has-sidebar">
