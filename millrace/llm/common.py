@@ -94,10 +94,14 @@ def without(docs: DataFrame, seen: DataFrame) -> DataFrame:
 def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str) -> DataFrame:
     """rows joined with keyed, which has one row for each key and how many of rows the key has.
 
-    Rows of hot keys meet a broadcast of these, of which there are fewer than HOT_KEYS; all others are joined by key.
+    Rows of a hot key are dealt into parts of one HOT_KEYS-th of all rows, which its row in keyed is
+    repeated for; the hot keys, fewer than HOT_KEYS, are broadcast to tell how many parts. Parts go by
+    the place of a row in its table, so rows must come from a table.
     """
     total = keyed.agg(F.sum(count)).first()[0] or 0
-    hot = F.col(count) * HOT_KEYS > total + HOT_KEYS
-    few = F.broadcast(keyed.where(hot))
-    rest = rows.join(F.broadcast(keyed.where(hot).select(*on)), on, "left_anti").join(keyed.where(~hot), on)
-    return rows.join(few, on).unionByName(rest)
+    parts, part = fresh(rows.select("*", *[F.lit(0).alias(c) for c in keyed.columns if c not in on]), "parts", "part")
+    many = keyed.withColumn(parts, F.when(F.col(count) * HOT_KEYS > total + HOT_KEYS, F.ceil(F.col(count) * HOT_KEYS / (total + HOT_KEYS))).otherwise(1).cast("int"))
+    hot = F.broadcast(many.where(F.col(parts) > 1).select(*on, parts))
+    dealt = rows.join(hot, on, "left").withColumn(part, F.pmod(F.monotonically_increasing_id(), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    each = many.withColumn(part, F.explode(F.sequence(F.lit(0), F.col(parts) - 1))).drop(parts)
+    return dealt.join(each, [*on, part]).drop(part)
