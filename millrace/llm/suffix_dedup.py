@@ -8,10 +8,11 @@ smaller positions in suffix order say whether a window occurs earlier (its longe
 reaches LENGTH) or later. Bytes under such windows are removed: all of them, or, with keep_first, only
 those of later copies.
 
-An anchor on HOT or more texts isn't brought together: its windows are counted by (anchor, hash of
-what they hold), which pre-aggregates and spreads; first in blocks of RUN windows, then, for blocks that
+An anchor on HOT or more texts isn't brought together: its windows are counted by (anchor, the bytes
+that they hold), which pre-aggregates and spreads; first in blocks of RUN windows, then, for blocks that
 are alone and one of each that aren't, window by window. Equal texts count as one and meet no one else's
-task; windows that repeat within a text are settled there, and one of them stands for the rest.
+task; windows that repeat within a text, found by hash and compared byte by byte, are settled there, and
+one of them stands for the rest.
 
 Defined results: a null text counts as empty; repeated rows and equal texts are copies of each other;
 texts shorter than LENGTH lose nothing; an empty table gives an empty result; further columns take no
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import id_and_text, written
+from millrace.llm.common import LAST, id_and_text, spread_join, written
 
 LENGTH, GRAM, HOT, RUN = 200, 32, 256, 16
 #: Bytes of a text that are looked at together, and of segments that share a suffix array.
@@ -105,12 +106,34 @@ def _read(docs: DataFrame, length: int) -> DataFrame:
 
 # ---------------------------------------------------------------- candidates of a text
 
-_SEGMENT = pa.schema([("kind", pa.string()), ("anchor", pa.int64()), ("window", pa.int64()), ("least", pa.int64()), ("key", pa.binary()), ("start", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary()), ("each", pa.list_(pa.int64()))])
-_SEGMENT_DDL = "kind string, anchor long, window long, least long, key binary, start long, n long, bytes binary, each array<long>"
+_SEGMENT = pa.schema([("kind", pa.string()), ("anchor", pa.int64()), ("least", pa.int64()), ("key", pa.binary()), ("start", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())])
+_SEGMENT_DDL = "kind string, anchor long, least long, key binary, start long, n long, bytes binary"
+
+
+def _repeats(data: np.ndarray, starts: np.ndarray, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows stand for themselves (the first with its bytes), and which of these are there again; equal hashes count once the bytes are equal."""
+    stands, many = np.ones(len(starts), dtype=bool), np.zeros(len(starts), dtype=bool)
+    left = np.arange(len(starts))
+    while len(left):
+        _, first, of = np.unique(hashes[left], return_index=True, return_inverse=True)
+        of = left[first][of]
+        again = np.flatnonzero(of != left)
+        same = np.ones(len(again), dtype=bool)
+        a, b = starts[left[again]], starts[of[again]]
+        for at in (*range(0, length - 7, 8), length - 8):
+            same &= _word(data, a + at) == _word(data, b + at)
+        stands[left[again[same]]], many[of[again[same]]] = False, True
+        left = left[again[~same]]
+    return stands, many
+
+
+def _word(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each place as one number."""
+    return np.lib.stride_tricks.as_strided(data, (max(0, len(data) - 7), 8), (1, 1), writeable=False)[at].copy().view(np.uint64)[:, 0]
 
 
 def _segments_of(data: np.ndarray, anchors: np.ndarray, hot: np.ndarray, length: int) -> Iterator[tuple]:
-    """(kind, anchor, window, start, n, each): settled within the text ('local', 'first'), for the suffix array ('segment') or to be counted ('hot': window is the hash of a block, each those of its windows)."""
+    """(kind, anchor, start, n): settled within the text ('local', 'first'), for the suffix array ('segment') or to be counted ('hot', by blocks)."""
     order = np.argsort(anchors)
     anchors, hot = anchors[order], hot[order]
     starts, tags, hashes, blocks = [], [], [], []
@@ -127,34 +150,23 @@ def _segments_of(data: np.ndarray, anchors: np.ndarray, hot: np.ndarray, length:
     if not starts:
         return
     starts, tags, hashes, blocks = map(np.concatenate, (starts, tags, hashes, blocks))
-    _, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-    stands = np.zeros(len(starts), dtype=bool)
-    stands[first] = True
-    many = np.zeros(len(starts), dtype=bool)
-    many[first[counts > 1]] = True
+    stands, many = _repeats(data, starts, hashes, length)
 
-    def runs(which: np.ndarray, by_tag: bool) -> Iterator[tuple[int, int, int]]:
+    def runs(which: np.ndarray, *by: np.ndarray) -> Iterator[tuple[int, int, int]]:
         at = np.flatnonzero(which)
         if len(at):
             cut = np.diff(starts[at]) != 1
-            if by_tag:
-                cut |= tags[at[1:]] != tags[at[:-1]]
+            for x in by:
+                cut |= x[at[1:]] != x[at[:-1]]
             edge = np.flatnonzero(np.append(True, cut))
             yield from zip(tags[at[edge]].tolist(), starts[at[edge]].tolist(), np.diff(np.append(edge, len(at))).tolist(), strict=True)
 
     for kind, which in (("local", ~stands), ("first", many)):
-        for _, start, n in runs(which, False):
-            yield kind, 0, 0, start, n, None
-    for t, start, n in runs(stands & ~hot[tags], True):
-        yield "segment", int(anchors[t]), 0, start, n, None
-    at = np.flatnonzero(stands & hot[tags])
-    if len(at):
-        edge = np.flatnonzero(np.append(True, (np.diff(starts[at]) != 1) | (blocks[at[1:]] != blocks[at[:-1]])))
-        n = np.diff(np.append(edge, len(at)))
-        # the first and the last window of a block cover all its bytes
-        own = _mixed(_mixed(hashes[at[edge]].view(np.uint64), hashes[at[edge + n - 1]].view(np.uint64)), n.astype(np.uint64)).view(np.int64)
-        for t, w, i, k in zip(tags[at[edge]].tolist(), own.tolist(), edge.tolist(), n.tolist(), strict=True):
-            yield "hot", int(anchors[t]), w, int(starts[at[i]]), k, hashes[at[i : i + k]]
+        for _, start, n in runs(which):
+            yield kind, 0, start, n
+    for kind, which, by in (("segment", stands & ~hot[tags], tags), ("hot", stands & hot[tags], blocks)):
+        for t, start, n in runs(which, by):
+            yield kind, int(anchors[t]), start, n
 
 
 def _candidates(texts: DataFrame, length: int) -> DataFrame:
@@ -165,10 +177,10 @@ def _candidates(texts: DataFrame, length: int) -> DataFrame:
             for key, least, text, anchors in zip(batch.column("key"), batch.column("least"), batch.column("text"), batch.column("anchors"), strict=True):
                 raw, found = text.as_buffer(), anchors.values
                 data, view = np.frombuffer(raw, dtype=np.uint8), memoryview(raw)
-                for kind, anchor, window, start, n, each in _segments_of(data, found.field("anchor").to_numpy(), found.field("hot").to_numpy(zero_copy_only=False), length):
-                    own = bytes(view[start : start + n - 1 + length]) if kind == "segment" else None
-                    size += 64 + (len(own) if own else 0) + (8 * n if each is not None else 0)
-                    for col, x in zip(out, (kind, anchor, window, least.as_py(), key.as_py(), start, n, own, each), strict=True):
+                for kind, anchor, start, n in _segments_of(data, found.field("anchor").to_numpy(), found.field("hot").to_numpy(zero_copy_only=False), length):
+                    own = bytes(view[start : start + n - 1 + length]) if kind in ("segment", "hot") else None
+                    size += 64 + (len(own) if own else 0)
+                    for col, x in zip(out, (kind, anchor, least.as_py(), key.as_py(), start, n, own), strict=True):
                         col.append(x)
                     if size > STRETCH:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SEGMENT, strict=True)], schema=_SEGMENT)
@@ -267,8 +279,8 @@ def _settled(length: int, keep_first: bool):
 # ---------------------------------------------------------------- the operator
 
 
-def spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The documents' keys (doc_id, key, n_bytes, least), and for each key with any the spans (start, end) to remove, which may overlap."""
+def spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
+    """For each text: its key, least identifier, number of copies, and the spans (start, end) to remove, null for none, which may overlap."""
     read = written(_read(docs, length), "anchors")
     by_text = read.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
     by_text = written(by_text, "texts")
@@ -284,22 +296,23 @@ def spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> tu
     together = together.repartition("anchor").sortWithinPartitions("anchor", F.col("least").asc_nulls_last(), "key", "start")
     cold = together.mapInArrow(_settled(length, keep_first), "key binary, start long, n long")
 
-    hot = found.where("kind = 'hot'").select("anchor", "window", "n", "each", F.struct(F.coalesce("least", F.lit(2**63 - 1)).alias("least"), "key", "start").alias("place"))
-    met = hot.groupBy("anchor", "window").agg(F.min("place").alias("low"), F.max("place").alias("high"))
-    blocks = written(hot.join(met, ["anchor", "window"]), "blocks")
+    hot = found.where("kind = 'hot'").select("anchor", "bytes", "n", F.struct(F.coalesce("least", F.lit(LAST)).alias("least"), "key", "start").alias("place"))
+    ends = [F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("rows")]
+    met = written(hot.groupBy("anchor", "bytes").agg(*ends), "met")
+    blocks = written(spread_join(hot, met, ["anchor", "bytes"], "rows"), "blocks")
     alike = blocks.where("low <> high").where(F.lit(not keep_first) | (F.col("place") != F.col("low")))
-    single = blocks.where("low = high OR place = low").select("anchor", "place", F.posexplode("each").alias("i", "window"))
-    single = single.select("anchor", "window", F.struct(F.col("place.least").alias("least"), F.col("place.key").alias("key"), (F.col("place.start") + F.col("i")).alias("start")).alias("place"))
-    met = single.groupBy("anchor", "window").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high")
-    again = single.join(met, ["anchor", "window"]).where(F.lit(not keep_first) | (F.col("place") != F.col("low")))
+    single = blocks.where("low = high OR place = low").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    window = F.col("bytes").substr(F.col("i").cast("int") + 1, F.lit(length))
+    single = single.select("anchor", window.alias("bytes"), F.struct(F.col("place.least").alias("least"), F.col("place.key").alias("key"), (F.col("place.start") + F.col("i")).alias("start")).alias("place"))
+    met = written(single.groupBy("anchor", "bytes").agg(*ends).where("low <> high"), "met")
+    again = spread_join(single, met, ["anchor", "bytes"], "rows").where(F.lit(not keep_first) | (F.col("place") != F.col("low")))
     counted = alike.select("place.key", "place.start", "n").unionByName(again.select("place.key", "place.start", F.lit(1).cast("long").alias("n")))
 
     within = found.where("kind = 'local'" if keep_first else "kind IN ('local', 'first')").select("key", "start", "n")
     copies = by_text.where(f"copies > 1 AND n_bytes >= {length}").where(F.lit(not keep_first)).select("key", F.lit(0).cast("long").alias("start"), (F.col("n_bytes") - length + 1).alias("n"))
     every = cold.unionByName(counted).unionByName(within).unionByName(copies)
-    joined = every.groupBy("key").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") - 1 + length).alias("end"))).alias("spans"))
-    joined = written(joined, "spans")
-    return read.select("doc_id", "key", "n_bytes").join(by_text.select("key", "least", "copies"), "key"), joined
+    spans = every.groupBy("key").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") - 1 + length).alias("end"))).alias("spans"))
+    return written(by_text.join(spans, "key", "left").select("key", "least", "copies", "spans"), "spans")
 
 
 def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -317,15 +330,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = False
 
     keep_first: the copy in the document with the smallest identifier stays, of equal texts that document's own.
     """
-    texts, found = spans(docs, length, keep_first)
+    found = spans(docs, length, keep_first)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    own = id_and_text(docs).withColumn("key", _text_key())
-    if keep_first:  # of equal texts all but one go entirely
-        firsts = texts.where("copies > 1").groupBy("key").agg(F.first("least").alias("least"))
-        own = own.join(firsts, "key", "left").withColumn("copy", F.col("least").isNotNull() & (F.col("doc_id") != F.col("least")))
-    else:
-        own = own.withColumn("copy", F.lit(False))
+    own = spread_join(id_and_text(docs).withColumn("key", _text_key()), found, ["key"], "copies")
+    # with keep_first, of equal texts all but one go entirely
+    own = own.withColumn("copy", F.lit(keep_first) & (F.col("copies") > 1) & ~F.col("doc_id").eqNullSafe(F.col("least")))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,4 +353,4 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = False
             yield pa.RecordBatch.from_pydict({k: list(v) for k, v in zip(names, zip(*out, strict=True), strict=True)}, schema=schema) if out else pa.RecordBatch.from_pylist([], schema=schema)
 
     schema = pa.schema([(k, pa.binary() if k == "kept" else pa.string() if k == "kept_sha256" else pa.int64()) for k in names])
-    return own.join(found, "key", "left").select("doc_id", "text", "copy", "spans").mapInArrow(each, ddl)
+    return own.select("doc_id", "text", "copy", "spans").mapInArrow(each, ddl)
