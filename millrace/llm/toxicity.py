@@ -5,8 +5,9 @@ by their association with the label. Grades are ordered: 0 not toxic, then toxic
 dense their markers are. All thresholds share the weights: P(grade <= k) = s(threshold_k - w x). A
 document gets its expected severity, its grade and whether it is toxic at all.
 
-The fit takes at most MOST_LABELS labelled rows, chosen by hash of the identifier; every document is
-scored, on its whole text. Defined results: a null text counts as empty; repeated rows score alike;
+The fit takes at most MOST_LABELS labelled rows, chosen by hash of the identifier, and the MOST_FEATURES
+word features that go most with the label, three numbers each; every document is scored, on its whole
+text. Defined results: a null text counts as empty; repeated rows score alike;
 labels that are null count as missing; without labels of both kinds no document is toxic; an empty
 table gives an empty result; further columns take no part.
 """
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import id_and_text
 from millrace.llm.quality import labelled
 
-MOST_LABELS, MOST_FEATURES, LEAST_DOCS, LEAST_LIFT = 8_000, 512, 3, 10.0
+#: Bounds of the fit: labelled rows, and the word features taken of all that go with the label; a feature's least documents, and its least association for each toxic one.
+MOST_LABELS, MOST_FEATURES, LEAST_DOCS, LEAST_LIFT = 8_000, 512, 3, 0.02
 #: Lengths of word beginnings; the ridge; words whose features a worker remembers, and keys that it counts before it passes them on.
 BEGINNINGS, RIDGE, REMEMBERED, HELD = range(3, 9), 0.02, 300_000, 100_000
 _WORD = re.compile(r"\w+")
@@ -124,12 +126,13 @@ def _association(sample: DataFrame) -> list[str]:
     sums = sums.where((F.col("n1") >= LEAST_DOCS) | (F.col("key") == "")).persist()
     total = sums.where("key = ''").first()
     if not total or not total["n0"] or not total["n1"]:
+        sums.unpersist()
         return []
 
     def lift(pos: str, neg: str):
         return F.col(pos) * (F.log((F.col(pos) + 0.5) / (total["n1"] + 1)) - F.log((F.col(neg) + 0.5) / (total["n0"] + 1)))
 
-    best = sums.where("key <> ''").select("key", F.greatest(lift("n1", "n0"), lift("m1", "m0")).alias("lift")).where(F.col("lift") > LEAST_LIFT)
+    best = sums.where("key <> ''").select("key", F.greatest(lift("n1", "n0"), lift("m1", "m0")).alias("lift")).where(F.col("lift") > LEAST_LIFT * total["n1"])
     out = [r["key"] for r in best.orderBy(F.desc("lift"), "key").limit(MOST_FEATURES).collect()]
     sums.unpersist()
     return out
