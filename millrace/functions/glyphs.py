@@ -99,9 +99,12 @@ def boxes(glyphs: DataFrame) -> DataFrame:
     return out.withColumn("width", F.col("x_max") - F.col("x_min"))
 
 
+_SMALL, _CAPITALS = "abcdefghijklmnopqrstuvwxyzıſ", "ABCDEFGHIJKLMNOPQRSTUVWXYZIS"
+
+
 def upper(text: Column) -> Column:
     """Letter by letter, so that no character turns into two."""
-    return F.translate(text, "abcdefghijklmnopqrstuvwxyzıſ", "ABCDEFGHIJKLMNOPQRSTUVWXYZIS")
+    return F.translate(text, _SMALL, _CAPITALS)
 
 
 def unknown_characters(text: Column) -> Column:
@@ -111,7 +114,7 @@ def unknown_characters(text: Column) -> Column:
 
 def validate(word: str) -> str:
     """The word in capitals; ValueError at the first character that the catalog lacks."""
-    word = word.upper()
+    word = word.translate(str.maketrans(_SMALL, _CAPITALS))
     for c in word:
         if c not in catalog():
             raise ValueError(f"{word!r} has {c!r}, which has no glyph")

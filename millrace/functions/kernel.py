@@ -47,7 +47,9 @@ class _Letter:
                 end = across + np.where(across > 0, -r, r)
                 d = np.where(along > 0, d, np.sqrt(along * along + end * end))
             np.minimum(flat, d, out=flat)
-        return (flat**8 + z**8) ** 0.125 - HALF
+        flat, z = (v * v for v in (flat, z))
+        flat, z = (v * v for v in (flat, z))
+        return np.sqrt(np.sqrt(np.sqrt(flat * flat + z * z))) - HALF  # the eighth root of eighth powers
 
 
 class Scene:

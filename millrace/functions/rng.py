@@ -17,7 +17,9 @@ def uniform(key: Column) -> Column:
 
 
 def uniform_np(key: np.ndarray) -> np.ndarray:
-    key = key.astype(np.int64) & _LOW
+    key = key.astype(np.int64)
+    if len(key) and not 0 <= key.min() <= key.max() <= _LOW:
+        raise ValueError("random numbers are keyed by numbers from 0 up to 2^32; beyond they would repeat")
     for _ in range(2):
         key = ((key ^ (key >> 16)) * _FACTOR) & _LOW
     return (key ^ (key >> 16)) / 2.0**32

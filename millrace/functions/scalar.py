@@ -29,3 +29,8 @@ def tone_mapped(total: Column, samples: Column | int) -> Column:
     """The mean over the configured samples plus 14/241, compressed by c / (c + 1), times 255."""
     mean = total / samples + 14 / 241
     return mean / (mean + 1) * 255
+
+
+def toi(letter: Column) -> Column:
+    """A coordinate from the code of its letter: 79 is the middle, two codes a unit, cut towards zero."""
+    return ((F.ascii(letter) - 79) / 2).cast("int")

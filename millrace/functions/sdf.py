@@ -30,6 +30,11 @@ def sphere(p: Point, centre: tuple, radius: float) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [(F.lit(c) - v) * (F.lit(c) - v) for v, c in zip(p, centre, strict=True)])) - radius
 
 
+def sphere_model(p: Point, centre: tuple, radius: float, material: int = 0) -> Column:
+    """d and material of a sphere; one without a material is GopherTeal."""
+    return F.struct(sphere(p, centre, radius).alias("d"), F.lit(material or MATERIALS.index("GopherTeal")).alias("material"))
+
+
 def room(p: Point) -> Column:
     x, y, z = p
     hollow = -F.least(box(p, *LOWER), box(p, *UPPER))
@@ -89,7 +94,7 @@ def scene(p: Point, word: str) -> Column:
     x, y, z = p
     of = lambda d, m: F.struct(d.alias("d"), F.lit(m).alias("material"))
     models = [letter((x - at, y, z), catalog()[c]) for c, at in layout_of(word)]
-    models += [of(room(p), WALL)] + [of(sphere(p, s[:3], s[3]), s[4]) for s in SPHERES]
+    models += [of(room(p), WALL)] + [sphere_model(p, s[:3], s[3], s[4]) for s in SPHERES]
     start = of(F.lit(FAR), 0)
     best = F.aggregate(F.array(*models), start, lambda acc, m: F.when(m["d"] < acc["d"] + EPSILON, m).otherwise(acc))
     return F.transform(F.array(best), lambda b: F.when(F.lit(SUN_HEIGHT) - y < b["d"], of(F.lit(SUN_HEIGHT) - y, SUN)).otherwise(b))[0]

@@ -50,3 +50,8 @@ def flatten_kv(df: DataFrame, name: str = "kv") -> DataFrame:
 def with_event_time(df: DataFrame, at: Column) -> DataFrame:
     """Rows with an event time; windows and pane are unset: one global window."""
     return df.withColumns({"event_time": at.cast("timestamp"), "windows": F.lit(None).cast("array<timestamp>"), "pane": F.lit(None).cast("string")})
+
+
+def reshuffled(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """The same rows dealt anew, by keys or in turn: ends a fused stage, and evens out parts."""
+    return df.repartition(parts, *keys)

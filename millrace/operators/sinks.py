@@ -64,6 +64,25 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
+def unpacked(data: bytes) -> np.ndarray:
+    """The image of a file that png() made: one without interlacing, whose lines aren't filtered."""
+    at, body, width, height = 8, b"", 0, 0
+    while at < len(data):
+        (size,), kind = struct.unpack(">I", data[at : at + 4]), data[at + 4 : at + 8]
+        own = data[at + 8 : at + 8 + size]
+        if struct.unpack(">I", data[at + 8 + size : at + 12 + size])[0] != zlib.crc32(kind + own):
+            raise ValueError(f"chunk {kind!r} is damaged")
+        if kind == b"IHDR":
+            width, height = struct.unpack(">II", own[:8])
+        body += own if kind == b"IDAT" else b""
+        at += 12 + size
+    return np.frombuffer(zlib.decompress(body), dtype=np.uint8).reshape(height, 1 + 4 * width)[:, 1:].reshape(height, width, 4)
+
+
+def read_file(spark: SparkSession, path: str) -> bytes:
+    return bytes(spark.read.format("binaryFile").load(path).first()["content"])
+
+
 def write_file(spark: SparkSession, path: str, data: bytes) -> None:
     """To any file system that Spark knows."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

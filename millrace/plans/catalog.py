@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from millrace.functions import dispatch, glyphs, sdf, vec
 from millrace.functions.rng import uniform
-from millrace.functions.scalar import atoi, itoa, tone_mapped
+from millrace.functions.scalar import atoi, itoa, toi, tone_mapped
 from millrace.operators import bundles, combine, elementwise, outputs, sides, sinks
 from millrace.operators.invoke import call_with
 from millrace.operators.metrics import Run
 from millrace.plans import render as plan
 from millrace.plans.launch import launch_and_wait
-from millrace.sources.generated import count_up, fan_out, impulse, ray_indexes
+from millrace.sources.generated import count_up, fan_out, impulse, literal, ray_indexes
 from millrace.sources.tables import table
 from millrace.streaming import events as streams
 
@@ -48,7 +48,7 @@ def impulse_source(spark, sf_dir):
 
 @query("SELECT 'a' AS key, 1::BIGINT AS value UNION ALL SELECT 'b', 2::BIGINT")
 def literal_source(spark, sf_dir):
-    return spark.createDataFrame([("a", 1), ("b", 2)], "key string, value long")
+    return literal(spark, [("a", 1), ("b", 2)], "key string, value long")
 
 
 @query("SELECT i AS v FROM range(10) t(i)")
@@ -84,6 +84,23 @@ def counters(spark, sf_dir):
     return spark.createDataFrame([(run.counters["events.elements"], run.counters["events.errors"])], "elements long, errors long")
 
 
+@query(
+    """
+SELECT x::INTEGER AS x, y::INTEGER AS y, coalesce(n_regionkey * 50, 0)::INTEGER AS r, coalesce(n_nationkey * 10, 0)::INTEGER AS g, coalesce(length(n_name), 0)::INTEGER AS b,
+  CASE WHEN n_nationkey IS NULL THEN 0 ELSE 255 END::INTEGER AS a FROM range(6) t(x) CROSS JOIN range(5) u(y) LEFT JOIN nation ON n_nationkey % 5 = 5 - x AND n_nationkey // 5 = 4 - y
+"""
+)
+def png_file(spark, sf_dir):
+    """A picture of 6 by 5 pixels with a column that never came, written to a file, read back and unpacked."""
+    key = F.col("n_nationkey")
+    pixels = table(spark, sf_dir, "nation").select((key % 5).alias("px"), F.floor(key / 5).alias("py"), (F.col("n_regionkey") * 50).alias("r"), (key * 10).alias("g"), F.length("n_name").alias("b"))
+    path = f"{_scratch(spark)}/{sinks.output_path('', 'NATION', 1)}"
+    sinks.write_file(spark, path, sinks.png(sinks.raster(pixels, 6, 5)))
+    image = sinks.unpacked(sinks.read_file(spark, path))
+    rows = [(x, y, *(int(v) for v in image[y, x])) for y in range(5) for x in range(6)]
+    return literal(spark, rows, "x int, y int, r int, g int, b int, a int")
+
+
 # ---------------------------------------------------------------- element-wise
 
 
@@ -143,6 +160,34 @@ def conditional_emit(spark, sf_dir):
     return elementwise.emit_if(table(spark, sf_dir, "events"), (F.col("event_type") == "purchase") & (F.col("value") > 10)).select("event_id", "value")
 
 
+@query("SELECT event_id, value * 2 AS doubled, upper(event_type) AS kind FROM events")
+def map_direct(spark, sf_dir):
+    return elementwise.map_to(table(spark, sf_dir, "events"), event_id=F.col("event_id"), doubled=F.col("value") * 2, kind=F.upper("event_type"))
+
+
+@query("SELECT event_id, value + 1 AS more FROM events WHERE value > 1")
+def par_do(spark, sf_dir):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def process(batches):
+        for b in batches:
+            b = b.filter(pc.greater(b.column("value"), 1.0))
+            yield pa.RecordBatch.from_arrays([b.column("event_id"), pc.add(b.column("value"), 1.0)], names=["event_id", "more"])
+
+    return elementwise.par_do(table(spark, sf_dir, "events").select("event_id", "value"), process, "event_id long, more double")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def reshuffle(spark, sf_dir):
+    return elementwise.reshuffled(table(spark, sf_dir, "events"), 4, "event_type").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, trunc((ascii(p_type) - 79) / 2e0)::INTEGER AS v FROM part")
+def letter_coordinate(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", toi(F.col("p_type")).alias("v"))
+
+
 @query("SELECT event_id, unnest(string_split(event_type, 'i')) AS piece FROM events")
 def flat_map(spark, sf_dir):
     return elementwise.flat_map(table(spark, sf_dir, "events"), "piece", F.split("event_type", "i"), "event_id")
@@ -220,6 +265,43 @@ def bundle_lifecycle(spark, sf_dir):
     return bundles.run_bundles(table(spark, sf_dir, "events").select("event_id"), [keep, stage()], "n long").agg(F.sum("n").alias("n"))
 
 
+@query("SELECT i AS v FROM range(5) t(i)")
+def early_stop(spark, sf_dir):
+    """A stage that has enough after five elements; the rest of its bundle isn't read."""
+    import pyarrow as pa
+
+    def stage() -> bundles.Stage:
+        seen = [0]
+
+        def process(batch: pa.RecordBatch) -> pa.RecordBatch:
+            own = batch.slice(0, 5 - seen[0])
+            seen[0] += own.num_rows
+            if seen[0] == 5:
+                raise bundles.Enough(own)
+            return own
+
+        return bundles.Stage(process)
+
+    return bundles.run_bundles(count_up(spark, 10).coalesce(1), [stage()], "v long")
+
+
+@query(f"SELECT sum(n)::BIGINT AS n, TIMESTAMP '{EVENT_TIME}' AS at FROM (SELECT count(*) AS n FROM events)")
+def bundle_event_time(spark, sf_dir):
+    """A count that a bundle's finish emits, at a time of its own."""
+    import pyarrow as pa
+
+    def stage() -> bundles.Stage:
+        seen = [0]
+
+        def process(batch: pa.RecordBatch) -> None:
+            seen[0] += batch.num_rows
+
+        return bundles.Stage(process, finish=lambda: bundles.at_time(pa.RecordBatch.from_pydict({"n": [seen[0]]}), 123456789))
+
+    found = bundles.run_bundles(table(spark, sf_dir, "events").select("event_id"), [stage()], "n long, event_time timestamp")
+    return found.groupBy(F.col("event_time").cast("timestamp_ntz").alias("at")).agg(F.sum("n").alias("n"))
+
+
 @query(f"SELECT event_id, ts AS own_time, TIMESTAMP '{EVENT_TIME}' AS given_time, NULL::VARCHAR AS pane FROM events")
 def element_event_time(spark, sf_dir):
     own = elementwise.with_event_time(table(spark, sf_dir, "events"), F.col("ts")).withColumn("own_time", F.col("event_time").cast("timestamp_ntz"))
@@ -509,7 +591,53 @@ def ray_jitter(spark, sf_dir):
     return plan.rays(spark, SMALL).select("i", "px", "py", *[F.round(c, 9).alias(c) for c in ("dx", "dy", "dz")])
 
 
-@query()
+def _nearest_sql(word: str) -> list[str]:
+    """Distances of the models of a scene from x, y, z, in order, as SQL with constants."""
+    models = []
+    for char, shift in glyphs.layout_of(word):
+        g = glyphs.catalog()[char]
+        x0, x1, y0, y1 = g.box
+        x = f"(x - ({shift!r}::DOUBLE))"
+        away = _box_sql(x, "y", "z", (x0, y0, -0.5), (x1, y1, 0.5))
+        near = ["1e9::DOUBLE"]
+        for ax, ay, bx, by in g.lines:
+            ex, ey = bx - ax, by - ay
+            t = f"greatest(0e0, least(1e0, (({x} - {ax}::DOUBLE) * {ex}::DOUBLE + (y - {ay}::DOUBLE) * {ey}::DOUBLE) / {ex * ex + ey * ey}::DOUBLE))"
+            near.append(f"sqrt(({x} - {ax}::DOUBLE - {ex}::DOUBLE * {t}) ** 2 + (y - {ay}::DOUBLE - {ey}::DOUBLE * {t}) ** 2)")
+        for kind, cx, cy, r in g.arcs:
+            ox, oy = f"({x} - {cx}::DOUBLE)", f"(y - {cy}::DOUBLE)"
+            ring = f"abs(sqrt({ox} ** 2 + {oy} ** 2) - {r}::DOUBLE)"
+            along, across = {"o": ("1", "0"), "r": (ox, oy), "l": (f"(-{ox})", oy), "u": (oy, ox), "d": (f"(-{oy})", ox)}[kind]
+            near.append(f"CASE WHEN {along} > 0 THEN {ring} ELSE sqrt({along} ** 2 + (CASE WHEN {across} > 0 THEN {across} - {r}::DOUBLE ELSE {across} + {r}::DOUBLE END) ** 2) END")
+        solid = f"pow(pow(least({', '.join(near)}), 8) + pow(z, 8), 0.125e0) - 0.5e0"
+        models.append((f"CASE WHEN {away} > 0.001e0 THEN {away} ELSE {solid} END", f"CASE WHEN {away} > 0.001e0 THEN 11 ELSE 1 END"))
+    models.append((_ROOM, "9"))
+    return models + [(_sphere_sql(s), str(s[4])) for s in sdf.SPHERES]
+
+
+def _march_sql() -> str:
+    """Rays of SMALL from the camera, a step of each in each round; a model later in order replaces one before if it is less than 0.001 farther."""
+    models = _nearest_sql(WORD)
+    fold = "SELECT *, " + ", ".join(f"{d} AS d{n}, {m} AS m{n}" for n, (d, m) in enumerate(models)) + ", 1e9::DOUBLE AS best, 0 AS kind FROM here"
+    for n in range(len(models)):
+        fold = f"SELECT * EXCLUDE (best, kind), CASE WHEN d{n} < best + 0.001e0 THEN d{n} ELSE best END AS best, CASE WHEN d{n} < best + 0.001e0 THEN m{n} ELSE kind END AS kind FROM ({fold})"
+    x, y, z = (float(v) for v in plan.POSITION)
+    return f"""
+WITH RECURSIVE k0 AS (SELECT i, n, i * 8 + n AS k FROM range(1, 64 * 36 * 4) t(i), range(2) s(n)), {_UNIFORM}, p AS (
+  SELECT i, floor((i % 256) / 4)::INTEGER AS px, floor(i / 256)::INTEGER AS py, max(u) FILTER (n = 0) AS up, max(u) FILTER (n = 1) AS aside FROM u GROUP BY 1
+), aimed AS (SELECT i, {_aimed()} FROM (SELECT *, py - 18 + up AS b, px - 32 + aside AS a FROM p)), way AS (
+  SELECT i, x / sqrt(x * x + y * y + z * z) AS dx, y / sqrt(x * x + y * y + z * z) AS dy, z / sqrt(x * x + y * y + z * z) AS dz FROM aimed
+), steps AS (
+  SELECT i, dx, dy, dz, 0e0 AS t, 0 AS step, NULL::INTEGER AS material FROM way
+  UNION ALL
+  SELECT i, dx, dy, dz, t + best, step + 1, CASE WHEN best < 0.001e0 OR step > 99 THEN kind WHEN t + best >= 100 THEN 0 END FROM (
+    SELECT * EXCLUDE (best, kind), CASE WHEN 19.9e0 - y < best THEN 19.9e0 - y ELSE best END AS best, CASE WHEN 19.9e0 - y < best THEN 10 ELSE kind END AS kind
+    FROM ({fold.replace("FROM here", f"FROM (SELECT *, {x} + dx * t AS x, {y} + dy * t AS y, {z} + dz * t AS z FROM steps WHERE material IS NULL) here")}))
+)
+SELECT material, count(*) AS n FROM steps WHERE material IS NOT NULL GROUP BY 1"""
+
+
+@query(_march_sql())
 def ray_march(spark, sf_dir):
     found = plan.first_hits(plan.rays(spark, SMALL), WORD)
     return found.groupBy("material").agg(F.count("*").alias("n"))
@@ -550,8 +678,10 @@ def session_windows(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -564,7 +694,7 @@ def _streamed(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
     def keep(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/rows/batch={n}")
 
-    run = df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(lambda b, n: keep(b.drop("batch"), n)).start()
+    run = streams.finish_batches(df, lambda b, n: keep(b.drop("batch"), n), mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     schema = df.schema
     return spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).parquet(f"{at}/rows")

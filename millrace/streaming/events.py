@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def from_files(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFrame:
     """A stream of the rows of parquet files as they come; the schema is that of the files there now."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(f"{path}*")  # a pattern may match one file as well as a folder of them
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern, since that may match one file as well as a folder; it matches this path alone
 
 
 def timed(df: DataFrame, at: Column, late: str | None = None) -> DataFrame:
