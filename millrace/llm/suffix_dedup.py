@@ -113,25 +113,25 @@ _SEGMENT_DDL = "kind string, anchor long, least long, key binary, start long, n
 def _repeats(data: np.ndarray, starts: np.ndarray, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Which windows stand for themselves (the first with its bytes), and which of these are there again; equal hashes count once the bytes are equal."""
     stands, many = np.ones(len(starts), dtype=bool), np.zeros(len(starts), dtype=bool)
-    left = np.arange(len(starts))
+    left, raw = np.arange(len(starts)), data.tobytes()
     while len(left):
         _, first, of = np.unique(hashes[left], return_index=True, return_inverse=True)
         of = left[first][of]
         again = np.flatnonzero(of != left)
+        if not len(again):
+            break
         same = np.ones(len(again), dtype=bool)
         a, b = starts[left[again]], starts[of[again]]
-        for at in (*range(0, length - 7, 8), length - 8):
-            same &= _word(data, a + at) == _word(data, b + at)
+        # windows that follow each other, like those they are equal to, are compared as one stretch of bytes
+        edge = np.flatnonzero(np.append(True, (np.diff(a) != 1) | (np.diff(b) != 1)))
+        for i, x, y, n in zip(edge.tolist(), a[edge].tolist(), b[edge].tolist(), np.diff(np.append(edge, len(a))).tolist(), strict=True):
+            if raw[x : x + n - 1 + length] != raw[y : y + n - 1 + length]:  # rare: hashes that are equal by chance
+                same[i : i + n] = [raw[x + k : x + k + length] == raw[y + k : y + k + length] for k in range(n)]
         stands[left[again[same]]], many[of[again[same]]] = False, True
         left = left[again[~same]]
     return stands, many
 
 
-def _word(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 8 bytes at each place as one number."""
-    return np.lib.stride_tricks.as_strided(data, (max(0, len(data) - 7), 8), (1, 1), writeable=False)[at].copy().view(np.uint64)[:, 0]
-
-
 def _segments_of(data: np.ndarray, anchors: np.ndarray, hot: np.ndarray, length: int) -> Iterator[tuple]:
     """(kind, anchor, start, n): settled within the text ('local', 'first'), for the suffix array ('segment') or to be counted ('hot', by blocks)."""
     order = np.argsort(anchors)

@@ -11,7 +11,7 @@ import xxhash
 from llm_rows import prose
 from pyspark.sql import functions as F
 
-from millrace.llm import components, exact_dedup, mixing, packing, secret_scan, simhash, suffix_dedup
+from millrace.llm import common, components, exact_dedup, mixing, packing, secret_scan, simhash, suffix_dedup
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
@@ -286,6 +286,27 @@ def test_empty_tables(empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_repeats_within_a_text_are_compared_by_bytes():
+    """Hashes of three bits, so that most that are equal are so by chance."""
+    data = np.frombuffer(("abcabcabcx" * 6 + "abdabd" * 5 + "zz").encode(), dtype=np.uint8)
+    starts = np.arange(len(data) - 9)
+    windows = [data[i : i + 10].tobytes() for i in starts]
+    for hashes in (np.array([hash(w) for w in windows]), np.array([zlib.crc32(w) % 8 for w in windows]), np.zeros(len(starts), dtype=np.int64)):
+        stands, many = suffix_dedup._repeats(data, starts, hashes, 10)
+        assert [w not in windows[:i] for i, w in enumerate(windows)] == stands.tolist()
+        assert [windows.count(w) > 1 and w not in windows[:i] for i, w in enumerate(windows)] == many.tolist()
+
+
+def test_hot_keys_are_dealt_into_parts(spark):
+    """A third of the rows on one key, and some on keys of their own: all are joined, once."""
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    path = common.written(rows, "rows")
+    keyed = path.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = common.spread_join(path, keyed, ["k"], "n")
+    assert got.columns == ["k", "id", "n", "least"] and sorted(r.id for r in got.collect()) == list(range(3000))
+    assert got.where("k = 0 AND n = 1000 AND least = 0").count() == 1000
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(60).select((F.col("id") * 7 % 61).alias("a"), ((F.col("id") + 1) * 7 % 61).alias("b"))
     got = {r.node: r.root for r in components.components(links).collect()}

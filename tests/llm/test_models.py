@@ -143,6 +143,58 @@ def test_sites_are_shrunk(spark):
     assert got[1] < got[900] < got[500]
 
 
+def test_quality_against_a_plain_posterior(spark, judged):
+    """Sums, strengths and posteriors of hosts and paths by loops, from each document's own score."""
+    docs, labels = judged
+    got = quality.classify(docs, labels, whole=True).collect()
+    own = [(r.doc["source"], r.doc["lang"], r.own_score) for r in got]
+    share = sum(p for *_, p in own) / len(own)
+
+    def groups(key):
+        out = {}
+        for row in own:
+            n, good = out.get(key(row), (0, 0.0))
+            out[key(row)] = (n + 1, good + row[2])
+        return out
+
+    def strength(found, mean):
+        v = sum(n * ((good / n - mean[k]) ** 2 - mean[k] * (1 - mean[k]) / n) for k, (n, good) in found.items())
+        w = sum(n * mean[k] * (1 - mean[k]) for k, (n, _) in found.items())
+        return min(1e4, max(1.0, w / max(v, 1e-4 * w) - 1))
+
+    hosts, paths = groups(lambda r: r[0]), groups(lambda r: r[:2])
+    k = strength(hosts, dict.fromkeys(hosts, share))
+    prior = {h: (k * share + good) / (k + n) for h, (n, good) in hosts.items()}
+    k = strength(paths, {p: prior[p[0]] for p in paths})
+    odds = lambda p: math.log(p / (1 - p))
+    for r in got:
+        n, good = paths[r.doc["source"], r.doc["lang"]]
+        site = min(1 - 1e-6, max(1e-6, (k * prior[r.doc["source"]] + good - r.own_score) / (k + n - 1)))
+        score = 1 / (1 + math.exp(-(odds(r.own_score) + quality.SITE_WEIGHT * (odds(site) - odds(share)))))
+        assert r.site_score == pytest.approx(site) and r.score == pytest.approx(score) and r.kept == (r.score >= quality.KEEP)
+
+
+def test_ordinal_fit_reaches_the_best_likelihood():
+    """No small change of any weight or threshold makes the penalised likelihood better, and the gradient is near zero."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 3))
+    y = np.digitize(x @ np.array([1.0, -1, 0.5]) + rng.logistic(size=500), [-0.5, 1.0])
+    w, cuts = toxicity.fit(x, y, 3, steps=6000)
+
+    def loss(w, cuts):
+        s = lambda v: 1 / (1 + np.exp(-v))
+        edges = np.concatenate([[-np.inf], cuts, [np.inf]])
+        p = s(edges[y + 1] - x @ w) - s(edges[y] - x @ w)
+        return -np.log(p).mean() + toxicity.RIDGE / math.sqrt(500) / 2 * (w @ w)
+
+    best = loss(w, cuts)
+    for i in range(5):
+        for step in (-1e-3, 1e-3):
+            z = np.concatenate([w, cuts])
+            z[i] += step
+            assert loss(z[:3], z[3:]) >= best - 1e-9
+
+
 def test_toxicity(spark):
     bad = ["idiotic", "moronish", "scumbag"]
     text = lambda i: prose(60, i) + (" " + " ".join(bad[: 1 + i % 3]) * (1 + i % 2) if i % 4 == 0 else "")
