@@ -33,7 +33,7 @@ from millrace.llm.common import LAST, id_and_text, spread_join, written
 
 LENGTH, GRAM, HOT, RUN = 200, 32, 256, 16
 #: Bytes of a text that are looked at together, and of segments that share a suffix array.
-STRETCH, ARRAY = 1 << 20, 1 << 21
+STRETCH, ARRAY = 1 << 20, 1 << 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 # ---------------------------------------------------------------- windows and anchors
@@ -194,6 +194,15 @@ def _candidates(texts: DataFrame, length: int) -> DataFrame:
 # ---------------------------------------------------------------- suffix array and previous factors
 
 
+def _ranked(values: np.ndarray) -> np.ndarray:
+    """The rank of each value among the different ones."""
+    order = np.argsort(values)
+    found = values[order]
+    out = np.empty(len(values), dtype=np.int64)
+    out[order] = np.cumsum(np.append(False, found[1:] != found[:-1]))[: len(values)]
+    return out
+
+
 def suffix_classes(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes that start at the given places, in the order of their first length bytes, and the number of the class of equal ones for each in that order.
 
@@ -204,12 +213,12 @@ def suffix_classes(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.nd
     word = np.zeros(n, dtype=np.uint64)
     for i in range(8):
         word = (word << np.uint64(8)) | padded[i : i + n]
-    rank = np.unique(word, return_inverse=True)[1].astype(np.int64)
+    rank = _ranked(word)
     if length < size:
         raise ValueError("length is 8 at least")
     while 2 * size <= length:
         after = np.append(rank[size:], np.full(min(size, n), -1))[:n] + 1
-        rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64)
+        rank = _ranked(rank * (n + 1) + after)
         size *= 2
     key = rank[at] * (n + 1) + rank[at + length - size]
     order = np.argsort(key, kind="stable")
