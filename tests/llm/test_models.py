@@ -45,8 +45,8 @@ def test_top_k_of_large_numbers(spark, x, score):
         assert found() == [(1, score), (2, -(2**58) + 256 * 512)]
 
 
-def test_clustered_queries_reach_few_shards(spark, monkeypatch):
-    """Far from other clusters, a query goes to its own only; a third of the rows are one vector, in shards of their own."""
+def test_clusters_and_a_hot_vector_are_split_into_shards(spark, monkeypatch):
+    """Exact on clusters, where a third of the rows are one vector, which several shards share."""
     monkeypatch.setattr(topk, "SHARD", 64)
     rng, sent = np.random.default_rng(4), []
     centres = np.eye(8) * 100
