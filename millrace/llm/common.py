@@ -14,6 +14,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 LAST = 2**63 - 1
 #: A key is hot with more than one part in so many of all rows; so there are fewer hot keys than this, whatever the input.
 HOT_KEYS = 1000
+#: Words of 64 bits in the filter of maybe_in(): one megabyte, whatever the input.
+FILTER_WORDS = 1 << 17
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -91,6 +93,21 @@ def without(docs: DataFrame, seen: DataFrame) -> DataFrame:
     return left.select(*cols)
 
 
+def maybe_in(rows: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key may be in keyed, and some others: a filter before a join, so that wide rows without a partner aren't shuffled.
+
+    A key sets one of 64 * FILTER_WORDS bits, which are broadcast; the more keys, the more other rows pass.
+    """
+    bit = F.pmod(F.xxhash64(*on), F.lit(64 * FILTER_WORDS))
+    word, place = F.shiftrightunsigned(bit, 6).cast("int"), bit.bitwiseAND(F.lit(63)).cast("int")
+    found = keyed.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("x")).groupBy("w").agg(F.bit_or("x").alias("x"))
+    every = keyed.sparkSession.range(0, FILTER_WORDS, 1, 1).select(F.col("id").cast("int").alias("w")).join(found, "w", "left")
+    bits = F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("x", F.lit(0).cast("long")).alias("x")))), lambda e: e["x"])
+    (name,) = fresh(rows, "bits")
+    held = written(every.agg(bits.alias(name)), "filter")
+    return rows.join(F.broadcast(held), F.getbit(F.get(F.col(name), word), place) == 1, "left_semi")
+
+
 def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str) -> DataFrame:
     """rows joined with keyed, which has one row for each key and how many of rows the key has.
 
