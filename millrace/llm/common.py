@@ -14,7 +14,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 LAST = 2**63 - 1
 #: A key is hot with more than one part in so many of all rows; so there are fewer hot keys than this, whatever the input.
 HOT_KEYS = 1000
-#: Words of 64 bits in the filter of maybe_in(): one megabyte, whatever the input.
+#: Words of 64 bits of a key_filter(): one megabyte, whatever the input.
 FILTER_WORDS = 1 << 17
 
 
@@ -71,12 +71,35 @@ def row_key():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+def key_filter(keyed: DataFrame, on: list[str]) -> DataFrame:
+    """One row of 64 * FILTER_WORDS bits, of which each key of keyed sets one; it is written, and small enough to broadcast whatever keyed holds."""
+    word, place = _bit(on)
+    found = keyed.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("x")).groupBy("w").agg(F.bit_or("x").alias("x"))
+    every = keyed.sparkSession.range(0, FILTER_WORDS, 1, 1).select(F.col("id").cast("int").alias("w")).join(found, "w", "left")
+    return written(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("x", F.lit(0).cast("long")).alias("x")))), lambda e: e["x"]).alias("bits")), "filter")
+
+
+def _bit(on: list[str]):
+    bit = F.pmod(F.xxhash64(*on), F.lit(64 * FILTER_WORDS))
+    return F.shiftrightunsigned(bit, 6).cast("int"), bit.bitwiseAND(F.lit(63)).cast("int")
+
+
+def maybe_in(rows: DataFrame, bits: DataFrame, on: list[str], inside: bool = True) -> DataFrame:
+    """The rows whose key may be among those of a key_filter(), and some others; or the rest, whose keys certainly aren't.
+
+    Wide rows without a partner needn't be shuffled to find that out. The more keys, the more other rows pass.
+    """
+    word, place = _bit(on)
+    (name,) = fresh(rows, "bits")
+    return rows.join(F.broadcast(bits.withColumnRenamed("bits", name)), F.getbit(F.get(F.col(name), word), place) == 1, "left_semi" if inside else "left_anti")
+
+
 def without(docs: DataFrame, seen: DataFrame) -> DataFrame:
     """The rows of docs but for those that go.
 
     seen: id, hash (a row_key()) and stays, for every row of a group that loses any. Rows go by their
-    key; where a key that stays is there several times, one row of it does. The keys are written, so
-    that Spark knows their size: a short list is broadcast and the texts aren't shuffled at all.
+    key; where a key that stays is there several times, one row of it does. Only rows that a filter
+    takes for one of these meet them in a join; the texts of all others aren't shuffled.
     """
     cols = docs.columns
     a, b = fresh(docs, "id", "hash")
@@ -84,28 +107,14 @@ def without(docs: DataFrame, seen: DataFrame) -> DataFrame:
     keys = seen.groupBy(F.col("id").alias(a), F.col("hash").alias(b)).agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
     keys = written(keys.where("n > 1 OR NOT stays"), "keys")
     goes = written(keys.where("NOT stays").select(a, b), "goes")
-    left = keyed.join(goes, [a, b], "left_anti")
+    bits = key_filter(keys, [a, b])
+    left = maybe_in(keyed, bits, [a, b]).join(goes, [a, b], "left_anti")
     if not keys.where("stays").isEmpty():
         several = written(keys.where("stays").select(a, b), "repeated")
         one = left.join(several, [a, b], "left_semi").dropDuplicates([a, b])
         left = left.join(several, [a, b], "left_anti").unionByName(one)
     discard(keys)
-    return left.select(*cols)
-
-
-def maybe_in(rows: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
-    """The rows whose key may be in keyed, and some others: a filter before a join, so that wide rows without a partner aren't shuffled.
-
-    A key sets one of 64 * FILTER_WORDS bits, which are broadcast; the more keys, the more other rows pass.
-    """
-    bit = F.pmod(F.xxhash64(*on), F.lit(64 * FILTER_WORDS))
-    word, place = F.shiftrightunsigned(bit, 6).cast("int"), bit.bitwiseAND(F.lit(63)).cast("int")
-    found = keyed.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("x")).groupBy("w").agg(F.bit_or("x").alias("x"))
-    every = keyed.sparkSession.range(0, FILTER_WORDS, 1, 1).select(F.col("id").cast("int").alias("w")).join(found, "w", "left")
-    bits = F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("x", F.lit(0).cast("long")).alias("x")))), lambda e: e["x"])
-    (name,) = fresh(rows, "bits")
-    held = written(every.agg(bits.alias(name)), "filter")
-    return rows.join(F.broadcast(held), F.getbit(F.get(F.col(name), word), place) == 1, "left_semi")
+    return maybe_in(keyed, bits, [a, b], inside=False).unionByName(left).select(*cols)
 
 
 def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str) -> DataFrame:
