@@ -41,7 +41,8 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[root[far]]
 
 
-def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task passes on: fewer links that join the same nodes."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -73,9 +74,13 @@ def _small_star(links: DataFrame) -> DataFrame:
     return rest.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links: a long, b long. Returns (node, root) for each node with a link that isn't the root itself."""
-    links = links.where("a <> b").mapInArrow(_reduced, "a long, b long")
+def components(links: DataFrame, are_reduced: bool = False) -> DataFrame:
+    """links: a long, b long. Returns (node, root) for each node with a link that isn't the root itself.
+
+    are_reduced: the worker that made the links has reduced() them, so that no second one is needed beside it.
+    """
+    if not are_reduced:
+        links = links.where("a <> b").mapInArrow(reduced, "a long, b long")
     links = written(links.distinct(), "links")
     sign = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     was = sign(links)
