@@ -14,8 +14,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 LAST = 2**63 - 1
 #: A key is hot with more than one part in so many of all rows; so there are fewer hot keys than this, whatever the input.
 HOT_KEYS = 1000
-#: Words of 64 bits of a key_filter(): one megabyte, whatever the input.
-FILTER_WORDS = 1 << 17
+#: Words of 64 bits of a key_filter(): one megabyte, more for many keys, and 64 megabytes at most.
+FILTER_WORDS, MOST_WORDS = 1 << 17, 1 << 23
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -72,15 +72,21 @@ def row_key():
 
 
 def key_filter(keyed: DataFrame, on: list[str]) -> DataFrame:
-    """One row of 64 * FILTER_WORDS bits, of which each key of keyed sets one; it is written, and small enough to broadcast whatever keyed holds."""
-    word, place = _bit(on)
+    """One row of bits, of which each key of keyed sets one, and so many words; it is written, and small enough to broadcast whatever keyed holds.
+
+    There are 16 bits for a key at least, up to MOST_WORDS.
+    """
+    words = FILTER_WORDS
+    while words < min(MOST_WORDS, keyed.count() // 4):
+        words *= 2
+    word, place = _bit(on, F.lit(words))
     found = keyed.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("x")).groupBy("w").agg(F.bit_or("x").alias("x"))
-    every = keyed.sparkSession.range(0, FILTER_WORDS, 1, 1).select(F.col("id").cast("int").alias("w")).join(found, "w", "left")
+    every = keyed.sparkSession.range(0, words, 1, 1).select(F.col("id").cast("int").alias("w")).join(found, "w", "left")
     return written(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("x", F.lit(0).cast("long")).alias("x")))), lambda e: e["x"]).alias("bits")), "filter")
 
 
-def _bit(on: list[str]):
-    bit = F.pmod(F.xxhash64(*on), F.lit(64 * FILTER_WORDS))
+def _bit(on: list[str], words):
+    bit = F.pmod(F.xxhash64(*on), words.cast("long") * 64)
     return F.shiftrightunsigned(bit, 6).cast("int"), bit.bitwiseAND(F.lit(63)).cast("int")
 
 
@@ -89,8 +95,8 @@ def maybe_in(rows: DataFrame, bits: DataFrame, on: list[str], inside: bool = Tru
 
     Wide rows without a partner needn't be shuffled to find that out. The more keys, the more other rows pass.
     """
-    word, place = _bit(on)
     (name,) = fresh(rows, "bits")
+    word, place = _bit(on, F.size(name))
     return rows.join(F.broadcast(bits.withColumnRenamed("bits", name)), F.getbit(F.get(F.col(name), word), place) == 1, "left_semi" if inside else "left_anti")
 
 

@@ -8,11 +8,15 @@ smaller positions in suffix order say whether a window occurs earlier (its longe
 reaches LENGTH) or later. Bytes under such windows are removed: all of them, or, with keep_first, only
 those of later copies.
 
-An anchor on HOT or more texts isn't brought together: its windows are counted by (anchor, the bytes
-that they hold), which pre-aggregates and spreads; first in blocks of RUN windows, then, for blocks that
-are alone and one of each that aren't, window by window. Equal texts count as one and meet no one else's
-task; windows that repeat within a text, found by hash and compared byte by byte, are settled there, and
-one of them stands for the rest.
+An anchor on HOT or more texts isn't brought together: its windows are counted by the SHA-256 of the
+bytes that they hold (128 bits of it, as for whole texts), which pre-aggregates and spreads; first in
+blocks of RUN windows, then, for blocks that are alone and one of each that aren't, window by window.
+Equal texts count as one and meet no one else's task; windows that repeat within a text, found by hash
+and compared byte by byte, are settled there, and one of them stands for the rest.
+
+What is shuffled for it is numbers and hashes but for the segments: a text gets a number, which stands
+for it wherever its windows go, and only texts that a filter takes for ones with segments, and at the
+end for ones that lose bytes, are shuffled themselves.
 
 Defined results: a null text counts as empty; repeated rows and equal texts are copies of each other;
 texts shorter than LENGTH lose nothing; an empty table gives an empty result; further columns take no
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LAST, id_and_text, spread_join, written
+from millrace.llm.common import LAST, discard, id_and_text, key_filter, maybe_in, spread_join, written
 
 LENGTH, GRAM, HOT, RUN = 200, 32, 256, 16
 #: Bytes of a text that are looked at together, and of segments that share a suffix array.
@@ -79,8 +83,8 @@ def anchored(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, whole: bo
         yield grams[least[start]].view(np.int64), least[start] + at, start + at, np.diff(np.append(start, len(least))), *[x.view(np.int64) for x in windows]
 
 
-def _text_key():
-    return F.unhex(F.substring(F.sha2("text", 256), 1, 32))
+def _key(of: str):
+    return F.unhex(F.substring(F.sha2(of, 256), 1, 32))
 
 
 def _read(docs: DataFrame, length: int) -> DataFrame:
@@ -101,13 +105,13 @@ def _read(docs: DataFrame, length: int) -> DataFrame:
                 names=["doc_id", "key", "n_bytes", "anchors", "again"],
             )
 
-    return id_and_text(docs).withColumn("key", _text_key()).mapInArrow(each, "doc_id long, key binary, n_bytes long, anchors array<long>, again array<boolean>")
+    return id_and_text(docs).withColumn("key", _key("text")).mapInArrow(each, "doc_id long, key binary, n_bytes long, anchors array<long>, again array<boolean>")
 
 
 # ---------------------------------------------------------------- candidates of a text
 
-_SEGMENT = pa.schema([("kind", pa.string()), ("anchor", pa.int64()), ("least", pa.int64()), ("key", pa.binary()), ("start", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())])
-_SEGMENT_DDL = "kind string, anchor long, least long, key binary, start long, n long, bytes binary"
+_SEGMENT = pa.schema([("kind", pa.string()), ("anchor", pa.int64()), ("least", pa.int64()), ("no", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())])
+_SEGMENT_DDL = "kind string, anchor long, least long, no long, start long, n long, bytes binary"
 
 
 def _repeats(data: np.ndarray, starts: np.ndarray, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,13 +178,13 @@ def _candidates(texts: DataFrame, length: int) -> DataFrame:
         out: list[list] = [[] for _ in _SEGMENT]
         size = 0
         for batch in batches:
-            for key, least, text, anchors in zip(batch.column("key"), batch.column("least"), batch.column("text"), batch.column("anchors"), strict=True):
+            for no, least, text, anchors in zip(batch.column("no"), batch.column("least"), batch.column("text"), batch.column("anchors"), strict=True):
                 raw, found = text.as_buffer(), anchors.values
                 data, view = np.frombuffer(raw, dtype=np.uint8), memoryview(raw)
                 for kind, anchor, start, n in _segments_of(data, found.field("anchor").to_numpy(), found.field("hot").to_numpy(zero_copy_only=False), length):
                     own = bytes(view[start : start + n - 1 + length]) if kind in ("segment", "hot") else None
                     size += 64 + (len(own) if own else 0)
-                    for col, x in zip(out, (kind, anchor, least.as_py(), key.as_py(), start, n, own), strict=True):
+                    for col, x in zip(out, (kind, anchor, least.as_py(), no.as_py(), start, n, own), strict=True):
                         col.append(x)
                     if size > STRETCH:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SEGMENT, strict=True)], schema=_SEGMENT)
@@ -250,10 +254,10 @@ def longest_previous(position: np.ndarray, order: np.ndarray, group: np.ndarray)
 
 
 def _settled(length: int, keep_first: bool):
-    names = ["key", "start", "n"]
+    names = ["no", "start", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, int, int, bytes]] = []
+        held: list[tuple[int, int, int, int, bytes]] = []
 
         def of(rows: list) -> Iterator[pa.RecordBatch]:
             blob = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8)
@@ -267,13 +271,13 @@ def _settled(length: int, keep_first: bool):
             if len(found):
                 edge = np.flatnonzero(np.append(True, (np.diff(found) != 1) | (own[found[1:]] != own[found[:-1]])))
                 at = found[edge]
-                keys = [rows[i][1] for i in own[at].tolist()]
+                texts = np.array([r[1] for r in rows])[own[at]]
                 starts = np.array([r[2] for r in rows])[own[at]] + inner[at]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts), pa.array(np.diff(np.append(edge, len(found))))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array(starts), pa.array(np.diff(np.append(edge, len(found))))], names=names)
 
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "start", "n", "bytes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "no", "start", "n", "bytes")), strict=True):
                 if size > ARRAY and row[0] != held[-1][0]:
                     yield from of(held)
                     held, size = [], 0
@@ -291,37 +295,52 @@ def _settled(length: int, keep_first: bool):
 def spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
     """For each text: its key, least identifier, number of copies, and the spans (start, end) to remove, null for none, which may overlap."""
     read = written(_read(docs, length), "anchors")
-    by_text = read.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
-    by_text = written(by_text, "texts")
-    each = read.select("key", F.explode(F.arrays_zip("anchors", "again")).alias("a")).select("key", F.col("a.anchors").alias("anchor"), F.col("a.again").alias("again"))
-    meets = each.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max("again").alias("again"), F.count("*").alias("n"))
-    meets = meets.where("low <> high OR again").select("anchor", (F.col("n") >= HOT).alias("hot"))
-    lists = each.join(meets, "anchor").groupBy("key").agg(F.collect_set(F.struct("anchor", "hot")).alias("anchors"))
-    lists = written(lists.join(by_text.select("key", "least"), "key"), "lists")  # so that the join with the texts can split a text that many share
-    texts = id_and_text(docs).withColumn("key", _text_key()).join(lists, "key").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    found = written(_candidates(texts.select("key", "least", "text", "anchors"), length), "candidates")
-
-    together = found.where("kind = 'segment'").select("anchor", "least", "key", "start", "n", "bytes")
-    together = together.repartition("anchor").sortWithinPartitions("anchor", F.col("least").asc_nulls_last(), "key", "start")
-    cold = together.mapInArrow(_settled(length, keep_first), "key binary, start long, n long")
-
-    hot = found.where("kind = 'hot'").select("anchor", "bytes", "n", F.struct(F.coalesce("least", F.lit(LAST)).alias("least"), "key", "start").alias("place"))
-    ends = [F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("rows")]
-    met = written(hot.groupBy("anchor", "bytes").agg(*ends), "met")
-    blocks = written(spread_join(hot, met, ["anchor", "bytes"], "rows"), "blocks")
+    by_text = read.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_bytes", "anchors", "again")])
+    by_text = written(by_text.withColumn("no", F.monotonically_increasing_id()), "texts")
+    discard(read)
+    each = by_text.select("no", F.explode(F.arrays_zip("anchors", "again")).alias("a")).select("no", F.col("a.anchors").alias("anchor"), F.col("a.again").alias("again"))
+    meets = each.groupBy("anchor").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("n")).where("n > 1")
+    lists = each.select("no", "anchor").join(meets.select("anchor", (F.col("n") >= HOT).alias("hot")), "anchor").groupBy("no").agg(F.collect_list(F.struct("anchor", "hot")).alias("anchors"))
+    least = F.coalesce("least", F.lit(LAST)).alias("least")
+    lists = written(lists.join(by_text.select("no", "key", least), "no"), "lists")  # so that Spark knows its size
+    found = written(_candidates(_of_least(docs, lists).select("no", "least", "text", "anchors"), length), "candidates")
+    discard(lists)
+
+    together = found.where("kind = 'segment'").select("anchor", "least", "no", "start", "n", "bytes")
+    together = together.repartition("anchor").sortWithinPartitions("anchor", "least", "no", "start")
+    cold = together.mapInArrow(_settled(length, keep_first), "no long, start long, n long")
+
+    hot = found.where("kind = 'hot'").select(_key("bytes").alias("of"), "bytes", "n", F.struct("least", "no", "start").alias("place"))
+    ends = [F.min("place").alias("low"), F.max("place").alias("high")]
+    rows = F.count("*").alias("rows")
+    met = written(hot.groupBy("of").agg(*ends, rows), "met")
+    blocks = written(spread_join(hot, met, ["of"], "rows").drop("of"), "blocks")
+    discard(met)
     alike = blocks.where("low <> high").where(F.lit(not keep_first) | (F.col("place") != F.col("low")))
     single = blocks.where("low = high OR place = low").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    window = F.col("bytes").substr(F.col("i").cast("int") + 1, F.lit(length))
-    single = single.select("anchor", window.alias("bytes"), F.struct(F.col("place.least").alias("least"), F.col("place.key").alias("key"), (F.col("place.start") + F.col("i")).alias("start")).alias("place"))
-    met = written(single.groupBy("anchor", "bytes").agg(*ends).where("low <> high"), "met")
-    again = spread_join(single, met, ["anchor", "bytes"], "rows").where(F.lit(not keep_first) | (F.col("place") != F.col("low")))
-    counted = alike.select("place.key", "place.start", "n").unionByName(again.select("place.key", "place.start", F.lit(1).cast("long").alias("n")))
-
-    within = found.where("kind = 'local'" if keep_first else "kind IN ('local', 'first')").select("key", "start", "n")
-    copies = by_text.where(f"copies > 1 AND n_bytes >= {length}").where(F.lit(not keep_first)).select("key", F.lit(0).cast("long").alias("start"), (F.col("n_bytes") - length + 1).alias("n"))
+    single = single.select(F.col("bytes").substr(F.col("i").cast("int") + 1, F.lit(length)).alias("bytes"), F.struct("place.least", "place.no", (F.col("place.start") + F.col("i")).alias("start")).alias("place"))
+    single = single.select(_key("bytes").alias("of"), "place")
+    if keep_first:
+        met = written(single.groupBy("of").agg(*ends, rows).where("low <> high").select("of", "low", "rows"), "met")
+        again = spread_join(single, met, ["of"], "rows").where(F.col("place") != F.col("low")).select("place.no", "place.start")
+    else:
+        met = written(single.groupBy("of").agg(rows).where("rows > 1"), "met")
+        again = spread_join(single.select("of", "place.no", "place.start"), met, ["of"], "rows").select("no", "start")
+    counted = alike.select("place.no", "place.start", "n").unionByName(again.withColumn("n", F.lit(1).cast("long")))
+
+    within = found.where("kind = 'local'" if keep_first else "kind IN ('local', 'first')").select("no", "start", "n")
+    copies = by_text.where(f"copies > 1 AND n_bytes >= {length}").where(F.lit(not keep_first)).select("no", F.lit(0).cast("long").alias("start"), (F.col("n_bytes") - length + 1).alias("n"))
     every = cold.unionByName(counted).unionByName(within).unionByName(copies)
-    spans = every.groupBy("key").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") - 1 + length).alias("end"))).alias("spans"))
-    return written(by_text.join(spans, "key", "left").select("key", "least", "copies", "spans"), "spans")
+    spans = every.groupBy("no").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") - 1 + length).alias("end"))).alias("spans"))
+    out = written(by_text.select("no", "key", "least", "copies").join(spans, "no", "left").select("key", "least", "copies", "spans"), "spans")
+    discard(by_text, found, blocks, met)
+    return out
+
+
+def _of_least(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """lists with the text of each, from its row with the least identifier; other rows that certainly aren't such ones aren't shuffled."""
+    rows = id_and_text(docs).withColumn("key", _key("text")).withColumn("least", F.coalesce("doc_id", F.lit(LAST)))
+    return maybe_in(rows, key_filter(lists, ["key", "least"]), ["key", "least"]).join(lists, ["key", "least"])
 
 
 def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -342,7 +361,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = False
     found = spans(docs, length, keep_first)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    own = spread_join(id_and_text(docs).withColumn("key", _text_key()), found, ["key"], "copies")
+    texts = id_and_text(docs).withColumn("key", _key("text"))
+    bits = key_filter(found.where(F.col("spans").isNotNull() | (F.lit(keep_first) & (F.col("copies") > 1))), ["key"])
+    # texts that certainly lose nothing don't meet their spans
+    whole = maybe_in(texts, bits, ["key"], inside=False)
+    whole = whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), *[F.lit(0).cast("long").alias(c) for c in ("n_removed", "n_spans")], F.sha2("text", 256).alias("kept_sha256"), *[F.col("text").cast("binary").alias("kept")] * with_text)
+    own = spread_join(maybe_in(texts, bits, ["key"]), found, ["key"], "copies")
     # with keep_first, of equal texts all but one go entirely
     own = own.withColumn("copy", F.lit(keep_first) & (F.col("copies") > 1) & ~F.col("doc_id").eqNullSafe(F.col("least")))
 
@@ -362,4 +386,4 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = False
             yield pa.RecordBatch.from_pydict({k: list(v) for k, v in zip(names, zip(*out, strict=True), strict=True)}, schema=schema) if out else pa.RecordBatch.from_pylist([], schema=schema)
 
     schema = pa.schema([(k, pa.binary() if k == "kept" else pa.string() if k == "kept_sha256" else pa.int64()) for k in names])
-    return own.select("doc_id", "text", "copy", "spans").mapInArrow(each, ddl)
+    return own.select("doc_id", "text", "copy", "spans").mapInArrow(each, ddl).unionByName(whole)

@@ -265,6 +265,38 @@ def test_suffix_dedup_of_repeated_rows(docs, rows):
     assert len(got) == len(rows) and {r.n_removed == r.n_bytes for r in got if r.doc_id == 80 and r.n_bytes >= 200} <= {True}
 
 
+@pytest.fixture
+def shuffled(spark):
+    """Bytes that a call shuffles, where no table is taken for small."""
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    def of(call):
+        before, out = total(), call()
+        return out, total() - before
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield of
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_suffix_dedup_shuffles_neither_texts_that_lose_nothing_nor_the_bytes_of_hot_windows(spark, shuffled, keep_first, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    monkeypatch.setattr(common, "FILTER_WORDS", 64)
+    rng, shared = np.random.default_rng(1), prose(80, "hot")
+    own = lambda n: rng.bytes(n).hex()
+    alone = {i: own(15_000) for i in range(40)}
+    texts = alone | {100 + i: own(300) + shared + own(300) for i in range(20)}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got, size = shuffled(lambda: suffix_dedup.suffix_dedup(docs, keep_first=keep_first).collect())
+    assert {r.doc_id: tuple(r)[1:] for r in got} == _removed({i: t.encode() for i, t in texts.items()}, 200, keep_first)
+    assert size < sum(map(len, texts.values()))  # what it shuffles are numbers: before, each text went twice
+
+
 def test_suffix_array_and_previous_factors():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 300).astype(np.uint8)
