@@ -24,7 +24,7 @@ def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash fingerprints as in operator 1 find candidates; of texts linked by a similarity of 0.8 or more in five-word shingles the first stays."""
+    """Operator 1's partitions, thresholds and probes of SimHash fingerprints find candidates; of texts linked by a similarity of 0.8 or more in five-word shingles the first stays."""
     return near_copies.deduplicated(docs)
 
 

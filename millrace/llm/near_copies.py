@@ -1,16 +1,19 @@
-"""Near copies: several SimHash fingerprints find candidates, exact similarity decides.
+"""Near copies: operator 1's split of several SimHash fingerprints finds candidates, exact similarity decides.
 
 A text is the set of its five-word shingles; two texts are near copies if their sets have a Jaccard
-similarity of at least LEAST, and near copies of near copies go together. Some 64-bit fingerprints of
-a set are cut into bands, wider ones the more rows there are, so that about as many unlike texts meet in
-a band at every size; and as many bands as keep the chance small that near copies agree in none. Texts
-that agree in a band, and differ in at most RADIUS bits of the first PROBED fingerprints, are candidates;
-the components of candidates bound where near copies can be. Within each of these the similarity of
-every pair is computed on the shingles themselves, and only pairs that reach LEAST are links. A pair of
-similarity LEAST differs in a share DIFFER of its bits and agrees in no band with a chance of MISSED; the
-more alike, the rarer.
-
-Texts with equal sets are one node. Bands and components with many nodes are split into blocks, and
+similarity of at least LEAST, and near copies of near copies go together. A set has some 64-bit SimHash
+fingerprints. Each is split by the generalised pigeonhole principle as in operator 1: bits that go
+together are put into the same partition, and thresholds come from its dynamic programme over estimated
+candidate counts. A text is listed under its bits in each partition and probes the keys within the
+threshold. Fingerprints that differ in at most the radius of the split must meet; those of near copies
+often differ in more and meet by chance in some partition of some fingerprint, so there are as many
+fingerprints as keep the chance that they never meet to MISSED: a pair of similarity LEAST differs in a
+share DIFFER of its bits; the more alike, the rarer. What meets is verified on all bits of the first
+PROBED fingerprints, and is a candidate at RADIUS or less. The components of candidates bound where near
+copies can be: within each of these the similarity of every pair is computed on the shingles themselves,
+and only pairs that reach LEAST are links.
+
+Texts with equal sets are one node. Keys and components with many nodes are split into blocks, and
 pairs of blocks are compared in tasks of their own, which report only links that join what they have
 not joined yet.
 
@@ -32,21 +35,49 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import key_filter, maybe_in, row_key, spread_join, without, written
 from millrace.llm.components import components, reduced
+from millrace.llm.simhash import BITS, chosen, joint, keys, thresholds
 
 LEAST, SHINGLE, SEED = 0.8, 5, 42
-#: Share of bits in which texts at LEAST differ, and chance that bands miss them.
+#: Share of bits in which texts at LEAST differ, and chance that they meet under no key.
 DIFFER, MISSED = 0.15, 0.0075
-#: Least bits of a band; unlike texts, as a power of two, that meet in a band; fingerprints of which a candidate may differ in RADIUS bits.
-WIDTH, MEET, PROBED, RADIUS = 14, 4, 3, 56
-#: Nodes of a block, of a band and of a component; shingles that are compared at once; nodes up to which all groups are compared together.
-BLOCK, EXACT_BLOCK, AT_ONCE, SMALL = 1024, 256, 4096, 24
-
-
-def shape(n: int) -> tuple[int, int, int]:
-    """Bits of a band, bands and fingerprints for so many texts."""
-    width = max(WIDTH, math.ceil(math.log2(max(2, n))) - MEET)
-    bands = math.ceil(math.log(MISSED) / math.log(1 - (1 - DIFFER) ** width))
-    return width, bands, max(PROBED, -(-width * bands // 64))
+#: Texts for which keys are planned at least, so that smaller tables don't get others, and what a row costs, in candidates verified.
+PLANNED, ROW = 1 << 18, 100
+#: Fingerprints of which a candidate may differ in RADIUS bits.
+PROBED, RADIUS = 3, 56
+#: Nodes of a block, of a key and of a component; shingles that are compared at once; nodes up to which all groups are compared together.
+BLOCK, EXACT_BLOCK, AT_ONCE, SMALL = 1024, 256, 4096, 128
+
+Split = list[tuple[list[int], int]]
+
+
+def missed(split: Split) -> float:
+    """The chance that fingerprints of texts at LEAST meet in no partition of a split."""
+    return math.prod(1 - sum(math.comb(len(g), k) * DIFFER**k * (1 - DIFFER) ** (len(g) - k) for k in range(limit + 1)) for g, limit in split)
+
+
+def shape(n: int) -> tuple[int, int]:
+    """Fingerprints of a text and the radius of their splits, for so many texts: what costs least, were bits independent."""
+    found = []
+    for radius in range(1, 8):
+        ways = []
+        for parts in range(1, radius + 2):
+            groups = [x.tolist() for x in np.array_split(np.arange(BITS), parts)]
+            cost, limits = thresholds(max(n, PLANNED), np.full(BITS, 0.5), groups, radius, ROW)
+            ways.append((cost, [(g, t) for g, t in zip(groups, limits, strict=True) if t >= 0]))
+        cost, split = min(ways, key=lambda x: x[0])
+        fingerprints = max(PROBED, math.ceil(math.log(MISSED) / math.log(missed(split))))
+        found.append((fingerprints * cost, fingerprints, radius))
+    return min(found)[1:]
+
+
+def splits(counts: list[tuple[int, np.ndarray]], radius: int) -> list[Split]:
+    """Operator 1's split for each fingerprint; a larger radius where those found would miss more than MISSED."""
+    times = max(1, PLANNED / counts[0][0])
+    while True:
+        found = [chosen(n * times, both * times, radius, ROW) for n, both in counts]
+        if math.prod(map(missed, found)) <= MISSED:
+            return found
+        radius += 1
 
 
 def shingles(text: str) -> np.ndarray:
@@ -73,24 +104,30 @@ def sketch(hashes: np.ndarray, fingerprints: int) -> np.ndarray:
     return 2 * counts + _bits(hashes[:1], salts)[0] > len(hashes)
 
 
-def _sketches(width: int, bands: int, fingerprints: int):
-    powers, first = 1 << np.arange(width, dtype=np.int64), np.arange(bands, dtype=np.int64) << width
-
+def _sketches(fingerprints: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, fps, keys = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            nodes, fps = [], [np.zeros(0, np.int64)]
             for text in batch.column("text"):
                 own = shingles(text.as_py())
-                bits = sketch(own, fingerprints)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes()) - 2**63)
-                fps.append(np.packbits(bits[: 64 * PROBED]).view(np.int64))
-                keys.append(first + bits[: bands * width].reshape(bands, width) @ powers)
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(x)), k).cast(pa.list_(pa.int64())) for x, k in ((fps, PROBED), (keys, bands))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), pa.array(nodes, pa.int64()), *lists], names=["id", "hash", "node", "fps", "keys"])
+                fps.append(np.packbits(sketch(own, fingerprints)).view(np.int64))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(fps)), fingerprints).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), pa.array(nodes, pa.int64()), lists], names=["id", "hash", "node", "fps"])
 
     return run
 
 
+def _keyed(first: DataFrame, found: list[Split]) -> DataFrame:
+    """Each node under the keys of all its fingerprints; the same hash for two keys only adds candidates."""
+
+    def own(i: int):
+        return F.transform(keys(F.col("fps")[i], found[i]), lambda k: F.struct(F.xxhash64(F.lit(i), k["part"], k["sig"]).alias("key"), k["probe"].alias("probe")))
+
+    every = first.select("node", *[F.col("fps")[i].alias(f"f{i}") for i in range(PROBED)], F.explode(F.concat(*map(own, range(len(found))))).alias("k"))
+    return every.select("k.key", "node", "k.probe", *[f"f{i}" for i in range(PROBED)])
+
+
 def _spanning(near: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all that near connects: from each node to the least of what it is connected to, so that groups with the same members give the same links."""
     order = np.argsort(nodes, kind="stable")
@@ -127,11 +164,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def _band_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between nodes of a (key, low, high) that differ in at most RADIUS bits, from rows sorted by these; of a group of up to SMALL nodes all at once for all groups."""
-    names = ["key", "low", "high", "block", "node", *[f"f{i}" for i in range(PROBED)]]
+def _key_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between nodes of a (key, low, high), of which one is listed, that differ in at most RADIUS bits, from rows sorted by these; of a group of up to SMALL nodes all at once for all groups."""
+    names = ["key", "low", "high", "block", "probe", "node", *[f"f{i}" for i in range(PROBED)]]
 
-    def of(key, low, high, block, node, *fps) -> pa.RecordBatch:
+    def of(key, low, high, block, probe, node, *fps) -> pa.RecordBatch:
         fps = [x.view(np.uint64) for x in fps]
         new = np.append(True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
         start = np.flatnonzero(new)
@@ -144,12 +181,13 @@ def _band_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 break
             differ = sum(np.bitwise_count(x[at] ^ x[at + d]).astype(np.int16) for x in fps)
-            ok = at[(differ <= RADIUS) & ((low[at] == high[at]) | (block[at] != block[at + d]))]
+            ok = at[(differ <= RADIUS) & ((low[at] == high[at]) | (block[at] != block[at + d])) & ~(probe[at] & probe[at + d])]
             a.append(node[ok])
             b.append(node[ok + d])
         for s, k in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
             own = slice(s, s + k)
             near = sum(np.bitwise_count(x[own][:, None] ^ x[own][None, :]).astype(np.int16) for x in fps) <= RADIUS
+            near &= ~(probe[own][:, None] & probe[own][None, :])
             np.fill_diagonal(near, False)
             if low[s] != high[s]:
                 near &= block[own][:, None] != block[own][None, :]
@@ -159,7 +197,7 @@ def _band_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     carry = None
     for batch in batches:
-        cols = [batch.column(c).to_numpy() for c in names]
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
         if carry is not None:
             cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
         if len(cols[0]):
@@ -221,11 +259,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that come first among their near copies, one of each, with all their columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select(*[c.alias(n) for c, n in zip(row_key(), ("id", "hash"), strict=True)], text.alias("text"))
-    own = written(plain.mapInArrow(_sketches(*shape(docs.count())), "id long, hash long, node long, fps array<long>, keys array<long>"), "sketches")
-    first = own.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("first"), F.count("*").alias("n"), F.first("fps").alias("fps"), F.first("keys").alias("keys"))
+    fingerprints, radius = shape(docs.count())
+    own = written(plain.mapInArrow(_sketches(fingerprints), "id long, hash long, node long, fps array<long>"), "sketches")
+    first = own.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("first"), F.count("*").alias("n"), F.first("fps").alias("fps"))
     first = written(first, "nodes")
-    bands = first.select("node", *[F.col("fps")[i].alias(f"f{i}") for i in range(PROBED)], F.explode("keys").alias("key"))
-    near = components(_links(bands, BLOCK, _band_links), are_reduced=True)
+    counts = joint(first, fingerprints)
+    if not counts[0][0]:
+        return docs
+    near = components(_links(_keyed(first, splits(counts, radius)), BLOCK, _key_links), are_reduced=True)
     near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
     # of each node, a text to take its shingles from
     asked = written(first.join(near, "node").select(F.col("root").alias("key"), "node", "first.id", "first.hash"), "candidates")

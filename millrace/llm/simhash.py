@@ -79,26 +79,29 @@ def fingerprints(docs: DataFrame, *words: int) -> DataFrame:
 # ---------------------------------------------------------------- partitions and thresholds
 
 
-def _joint(fps: DataFrame) -> tuple[int, np.ndarray]:
-    """Over all fingerprints: their number, and how many have both bits i and j, from sums over parts of the table."""
+def joint(rows: DataFrame, fingerprints: int = 1) -> list[tuple[int, np.ndarray]]:
+    """rows: fps. For each fingerprint over all rows: their number, and how many have both bits i and j, from sums over parts of the table."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, both = 0, np.zeros((BITS, BITS), dtype=np.int64)
+        n, both = 0, np.zeros((fingerprints, BITS, BITS), dtype=np.int64)
         for batch in batches:
-            bits = np.unpackbits(batch.column("fp").to_numpy().astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
-            both += (bits.T @ bits).astype(np.int64)
-            n += len(bits)
+            fps = batch.column("fps").flatten().to_numpy().reshape(-1, fingerprints)
+            for k in range(fingerprints):
+                bits = np.unpackbits(fps[:, k].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
+                both[k] += (bits.T @ bits).astype(np.int64)
+            n += len(fps)
         if n:
             i, j = np.triu_indices(BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1)), pa.array(np.append(j, -1)), pa.array(np.append(both[i, j], n))], names=["i", "j", "n"])
+            for k in range(fingerprints):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i) + 1, k)), pa.array(np.append(i, -1)), pa.array(np.append(j, -1)), pa.array(np.append(both[k][i, j], n))], names=["k", "i", "j", "n"])
 
-    both, n = np.zeros((BITS, BITS)), 0
-    for r in fps.mapInArrow(counted, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+    both, n = np.zeros((fingerprints, BITS, BITS)), 0
+    for r in rows.select("fps").mapInArrow(counted, "k long, i long, j long, n long").groupBy("k", "i", "j").agg(F.sum("n").alias("n")).collect():
         if r["i"] < 0:
             n = r["n"]
         else:
-            both[r["i"], r["j"]] = both[r["j"], r["i"]] = r["n"]
-    return n, both
+            both[r["k"], r["i"], r["j"]] = both[r["k"], r["j"], r["i"]] = r["n"]
+    return [(n, x) for x in both]
 
 
 def grouped_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
@@ -117,7 +120,7 @@ def grouped_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def thresholds(n: int, share: np.ndarray, groups: list[list[int]], radius: int = RADIUS) -> tuple[float, list[int]]:
+def thresholds(n: int, share: np.ndarray, groups: list[list[int]], radius: int = RADIUS, row: float = ROW) -> tuple[float, list[int]]:
     """The cost and thresholds, -1 for none, of a split of the bits: rows listed and probed and candidates verified, as estimated."""
     differ = 2 * share * (1 - share)
     costs = []
@@ -126,24 +129,24 @@ def thresholds(n: int, share: np.ndarray, groups: list[list[int]], radius: int =
         for b in group:
             near = np.append(near * (1 - differ[b]), 0) + np.append(0, near * differ[b])
         ball = [sum(comb(len(group), k) for k in range(t + 1)) for t in range(radius + 1)]
-        costs.append([0.0] + [ROW * n * ball[t] + n * n / 2 * near[: t + 1].sum() for t in range(radius + 1)])  # by threshold + 1
+        costs.append([0.0] + [row * n * ball[t] + n * n / 2 * near[: t + 1].sum() for t in range(radius + 1)])  # by threshold + 1
     best = {0: (0.0, [])}
-    for row in costs:
+    for by_limit in costs:
         new: dict[int, tuple[float, list[int]]] = {}
         for used, (cost, chosen) in best.items():
             for extra in range(radius + 2 - used):
-                if used + extra not in new or cost + row[extra] < new[used + extra][0]:
-                    new[used + extra] = (cost + row[extra], [*chosen, extra - 1])
+                if used + extra not in new or cost + by_limit[extra] < new[used + extra][0]:
+                    new[used + extra] = (cost + by_limit[extra], [*chosen, extra - 1])
         best = new
     return best[radius + 1]
 
 
-def chosen(n: int, both: np.ndarray, radius: int = RADIUS) -> list[tuple[list[int], int]]:
+def chosen(n: int, both: np.ndarray, radius: int = RADIUS, row: float = ROW) -> list[tuple[list[int], int]]:
     """The partitions that are used, with their thresholds."""
     splits = []
     for parts in range(1, radius + 2):
         groups = grouped_bits(n, both, parts)
-        cost, limits = thresholds(n, np.diag(both) / n, groups, radius)
+        cost, limits = thresholds(n, np.diag(both) / n, groups, radius, row)
         splits.append((cost, parts, groups, limits))
     _, _, groups, limits = min(splits, key=lambda x: x[:2])
     return [(g, t) for g, t in zip(groups, limits, strict=True) if t >= 0]
@@ -156,20 +159,19 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _key(part: int, mask: int):
-    return lambda flip: F.struct(F.lit(part).alias("part"), F.col("fp").bitwiseAND(F.lit(mask)).bitwiseXOR(flip).alias("sig"), (flip != 0).alias("probe"))
+def _key(part: int, sig):
+    return lambda flip: F.struct(F.lit(part).alias("part"), sig.bitwiseXOR(flip).alias("sig"), (flip != 0).alias("probe"))
 
 
-def _keys(fps: DataFrame, split: list[tuple[list[int], int]]) -> DataFrame:
-    """fp under each of its keys: part, sig; probe: whether the key is one that it looks up and isn't listed under."""
+def keys(fp, split: list[tuple[list[int], int]]):
+    """An array of the keys of a column of fingerprints: part, sig; probe: whether the key is one that it looks up and isn't listed under."""
     each = []
     for i, (bits, limit) in enumerate(split):
         masks = [1 << (BITS - 1 - b) for b in bits]
-        mask = _signed(sum(masks))
         flips = [sum(c) for k in range(limit + 1) for c in combinations(masks, k)]
         own = F.array(*[F.lit(_signed(x)).cast("long") for x in flips])
-        each.append(F.transform(own, _key(i, mask)))
-    return fps.select("fp", F.explode(F.concat(*each)).alias("k")).select("fp", "k.*")
+        each.append(F.transform(own, _key(i, fp.bitwiseAND(F.lit(_signed(sum(masks)))))))
+    return F.concat(*each)
 
 
 def _joined(rows: np.ndarray, fp: np.ndarray, probe: np.ndarray, block: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,13 +240,13 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect all that differ in at most radius bits."""
-    n, both = _joint(fps)
+    ((n, both),) = joint(fps.select(F.array("fp").alias("fps")))
     if not n:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    keys = _keys(fps, chosen(n, both, radius))
-    large = keys.groupBy("part", "sig").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    listed = fps.select("fp", F.explode(keys(F.col("fp"), chosen(n, both, radius))).alias("k")).select("fp", "k.*")
+    large = listed.groupBy("part", "sig").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
-    rows = keys.join(large, ["part", "sig"], "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = listed.join(large, ["part", "sig"], "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("part", "sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "probe", "fp")
     return rows.repartition("part", "sig", "low", "high").sortWithinPartitions("part", "sig", "low", "high").mapInArrow(partial(_links, radius=radius), "a long, b long")

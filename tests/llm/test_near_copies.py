@@ -1,14 +1,16 @@
 """The near-copy stage of the pipeline, against all pairs by exact similarity."""
 
+import math
 import random
 import re
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from llm_rows import DOCUMENTS, prose, row
 from pyspark.sql import functions as F
 
-from millrace.llm import common, near_copies
+from millrace.llm import common, near_copies, simhash
 
 
 def _set(text):
@@ -70,3 +72,35 @@ def test_a_key_filter_passes_all_its_keys_and_parts_the_rows(spark, monkeypatch)
         assert {*range(0, 2000, 7)} <= inside and not inside & outside and inside | outside == {*range(2000)}
         assert common.maybe_in(rows, bits, ["id"]).columns == rows.columns
     assert len(inside) < 400
+
+
+def test_candidates_come_by_the_split_of_operator_1(spark, monkeypatch):
+    """Bits that go together share a partition, thresholds add up, what is within the radius meets with one side listed, and near copies are missed as seldom as told."""
+    monkeypatch.setattr(near_copies, "PLANNED", 1)
+    rng = np.random.default_rng(4)
+    half = rng.integers(0, 2, (3, 400, 32)).astype(bool)
+    bits = np.stack([half, half ^ (rng.random(half.shape) < 0.02)], axis=-1).reshape(3, 400, 64)  # bits 2k and 2k + 1 go together
+    for i in range(0, 400, 2):
+        bits[:, i + 1] = bits[:, i]
+        bits[:, i + 1, rng.choice(64, 2, replace=False)] ^= True
+    fps = np.packbits(bits, axis=-1).view(">i8")[..., 0].T.tolist()
+    first = spark.createDataFrame([(i, x) for i, x in enumerate(fps)], "node long, fps array<long>")
+    counts = simhash.joint(first, 3)
+    assert all(n == 400 and np.array_equal(both, b.T.astype(int) @ b.astype(int)) for (n, both), b in zip(counts, bits, strict=True))
+    found = near_copies.splits(counts, 2)
+    assert math.prod(map(near_copies.missed, found)) <= near_copies.MISSED
+    for split in found:
+        assert sum(limit + 1 for _, limit in split) >= 3 and len({b for g, _ in split for b in g}) == sum(len(g) for g, _ in split)
+        assert sum(b + 1 in g for g, _ in split for b in g if b % 2 == 0) >= 0.8 * sum(b % 2 == 0 for g, _ in split for b in g)
+    by = {}
+    for r in near_copies._keyed(first, found).collect():
+        by.setdefault(r.key, []).append((r.node, r.probe))
+    met = {(a, b) for rows in by.values() for a, x in rows for b, y in rows if a < b and not (x and y)}
+    assert {(i, i + 1) for i in range(0, 400, 2)} <= met
+
+
+def test_as_many_fingerprints_as_near_copies_need():
+    for n in (0, 10**5, 10**7):
+        fingerprints, radius = near_copies.shape(n)
+        assert fingerprints >= near_copies.PROBED and radius >= 1
+    assert near_copies.missed([([*range(64)], 64)]) < 1e-9 and abs(near_copies.missed([([0, 1], 0)]) - (1 - 0.85**2)) < 1e-9
