@@ -36,7 +36,7 @@ SLACK, DEPTH, SPREAD = 8, 4, (0, 6, 3)
 #: Steps and least gain of a step of the least squares; how often it is solved, and the share that it must place for one more time.
 STEPS, LEAST, ROUNDS, SHARE = 40_000, 0.5, 3, 0.05
 #: Entries of a worker's cache of words.
-CACHED = 600_000
+CACHED = 100_000
 
 # ---------------------------------------------------------------- ids of a text
 
