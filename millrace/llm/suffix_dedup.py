@@ -8,9 +8,13 @@ smaller positions in suffix order say whether a window occurs earlier (its longe
 reaches LENGTH) or later. Bytes under such windows are removed: all of them, or, with keep_first, only
 those of later copies.
 
-An anchor on HOT or more texts isn't brought together: its windows are counted by the SHA-256 of the
-bytes that they hold (128 bits of it, as for whole texts), which pre-aggregates and spreads; first in
-blocks of RUN windows, then, for blocks that are alone and one of each that aren't, window by window.
+An anchor on HOT or more texts isn't brought together. Its windows are cut into blocks of RUN, by their
+distance from the anchor; a block's core is what all windows at such distances hold. Equal windows
+have equal cores, so a block whose core no other has is settled. Blocks that are equal, by the SHA-256
+of their bytes (128 bits of it, as for whole texts), are copies, and one of them stands for the rest;
+where a core has fewer than HOT different blocks, they go to a suffix array by their core instead of
+their anchor. Only the windows of those left are counted one by one by SHA-256, which pre-aggregates
+and spreads.
 Equal texts count as one and meet no one else's task; windows that repeat within a text, found by hash
 and compared byte by byte, are settled there, and one of them stands for the rest.
 
@@ -83,7 +87,7 @@ def anchored(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, whole: bo
         yield grams[least[start]].view(np.int64), least[start] + at, start + at, np.diff(np.append(start, len(least))), *[x.view(np.int64) for x in windows]
 
 
-def _key(of: str):
+def _key(of):
     return F.unhex(F.substring(F.sha2(of, 256), 1, 32))
 
 
@@ -136,11 +140,15 @@ def _repeats(data: np.ndarray, starts: np.ndarray, hashes: np.ndarray, length: i
     return stands, many
 
 
+def _number(data: bytes) -> int:
+    return int.from_bytes(hashlib.sha256(data).digest()[:8], "little", signed=True)
+
+
 def _segments_of(data: np.ndarray, anchors: np.ndarray, hot: np.ndarray, length: int) -> Iterator[tuple]:
     """(kind, anchor, start, n): settled within the text ('local', 'first'), for the suffix array ('segment') or to be counted ('hot', by blocks)."""
     order = np.argsort(anchors)
     anchors, hot = anchors[order], hot[order]
-    starts, tags, hashes, blocks = [], [], [], []
+    starts, tags, hashes, places, cores = [], [], [], [], []
     for a, place, start, n, windows in anchored(data, length):
         i = np.minimum(np.searchsorted(anchors, a), len(anchors) - 1)
         ok = anchors[i] == a
@@ -149,28 +157,32 @@ def _segments_of(data: np.ndarray, anchors: np.ndarray, hot: np.ndarray, length:
             each = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             starts.append(each)
             tags.append(np.repeat(i, n))
-            blocks.append(np.repeat(place, n) * 64 + (np.repeat(place, n) - each) // RUN)  # by place of the anchor and distance from it
+            place = np.repeat(place, n)
+            places.append(place)
+            cores.append(place - (place - each) // RUN * RUN)  # where the last window at such distances from the anchor starts
             hashes.append(windows[each - start[0] // STRETCH * STRETCH])
     if not starts:
         return
-    starts, tags, hashes, blocks = map(np.concatenate, (starts, tags, hashes, blocks))
+    starts, tags, hashes, places, cores = map(np.concatenate, (starts, tags, hashes, places, cores))
     stands, many = _repeats(data, starts, hashes, length)
 
-    def runs(which: np.ndarray, *by: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def runs(of: np.ndarray, which: np.ndarray, *by: np.ndarray) -> Iterator[tuple[int, int, int]]:
         at = np.flatnonzero(which)
         if len(at):
             cut = np.diff(starts[at]) != 1
             for x in by:
                 cut |= x[at[1:]] != x[at[:-1]]
             edge = np.flatnonzero(np.append(True, cut))
-            yield from zip(tags[at[edge]].tolist(), starts[at[edge]].tolist(), np.diff(np.append(edge, len(at))).tolist(), strict=True)
+            yield from zip(of[at[edge]].tolist(), starts[at[edge]].tolist(), np.diff(np.append(edge, len(at))).tolist(), strict=True)
 
     for kind, which in (("local", ~stands), ("first", many)):
-        for _, start, n in runs(which):
+        for _, start, n in runs(tags, which):
             yield kind, 0, start, n
-    for kind, which, by in (("segment", stands & ~hot[tags], tags), ("hot", stands & hot[tags], blocks)):
-        for t, start, n in runs(which, by):
-            yield kind, int(anchors[t]), start, n
+    for t, start, n in runs(tags, stands & ~hot[tags], tags):
+        yield "segment", int(anchors[t]), start, n
+    raw = data.data
+    for core, start, n in runs(cores, stands & hot[tags], places, cores):
+        yield "hot", _number(raw[core : core + length - RUN + 1]), start, n
 
 
 def _candidates(texts: DataFrame, length: int) -> DataFrame:
@@ -306,34 +318,37 @@ def spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> Da
     found = written(_candidates(_of_least(docs, lists).select("no", "least", "text", "anchors"), length), "candidates")
     discard(lists)
 
-    together = found.where("kind = 'segment'").select("anchor", "least", "no", "start", "n", "bytes")
+    hot = found.where("kind = 'hot'").select(F.col("anchor").alias("core"), _key("bytes").alias("of"), "least", "no", "start", "n", "bytes")
+    place, rows = F.struct("least", "no", "start"), F.count("*").alias("rows")
+    ends = [F.min("place").alias("low"), F.max("place").alias("high")]
+    met = written(hot.withColumn("place", place).groupBy("of").agg(F.first("core").alias("core"), *ends, rows), "met")
+    alike = written(met.where("rows > 1").drop("core", "high"), "alike")
+    whole = maybe_in(hot.select("of", "least", "no", "start", "n"), key_filter(alike, ["of"]), ["of"])
+    whole = spread_join(whole, alike, ["of"], "rows").where(F.lit(not keep_first) | (place != F.col("low"))).select("no", "start", "n")
+    # one of each block whose core others have
+    cores = written(met.groupBy("core").agg(F.count("*").alias("blocks")).where("blocks > 1"), "cores")
+    lows = written(spread_join(met, cores, ["core"], "blocks").select("low.no", "low.start", "blocks"), "lows")
+    ones = maybe_in(hot.drop("of"), key_filter(lows, ["no", "start"]), ["no", "start"]).join(lows, ["no", "start"])
+    ones = written(ones, "blocks")
+
+    cols = ["anchor", "least", "no", "start", "n", "bytes"]
+    together = found.where("kind = 'segment'").select(*cols).unionByName(ones.where(F.col("blocks") < HOT).withColumnRenamed("core", "anchor").select(*cols))
     together = together.repartition("anchor").sortWithinPartitions("anchor", "least", "no", "start")
     cold = together.mapInArrow(_settled(length, keep_first), "no long, start long, n long")
 
-    hot = found.where("kind = 'hot'").select(_key("bytes").alias("of"), "bytes", "n", F.struct("least", "no", "start").alias("place"))
-    ends = [F.min("place").alias("low"), F.max("place").alias("high")]
-    rows = F.count("*").alias("rows")
-    met = written(hot.groupBy("of").agg(*ends, rows), "met")
-    blocks = written(spread_join(hot, met, ["of"], "rows").drop("of"), "blocks")
-    discard(met)
-    alike = blocks.where("low <> high").where(F.lit(not keep_first) | (F.col("place") != F.col("low")))
-    single = blocks.where("low = high OR place = low").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    single = single.select(F.col("bytes").substr(F.col("i").cast("int") + 1, F.lit(length)).alias("bytes"), F.struct("place.least", "place.no", (F.col("place.start") + F.col("i")).alias("start")).alias("place"))
-    single = single.select(_key("bytes").alias("of"), "place")
-    if keep_first:
-        met = written(single.groupBy("of").agg(*ends, rows).where("low <> high").select("of", "low", "rows"), "met")
-        again = spread_join(single, met, ["of"], "rows").where(F.col("place") != F.col("low")).select("place.no", "place.start")
-    else:
-        met = written(single.groupBy("of").agg(rows).where("rows > 1"), "met")
-        again = spread_join(single.select("of", "place.no", "place.start"), met, ["of"], "rows").select("no", "start")
-    counted = alike.select("place.no", "place.start", "n").unionByName(again.withColumn("n", F.lit(1).cast("long")))
+    single = ones.where(F.col("blocks") >= HOT).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    single = single.select(_key(F.col("bytes").substr(F.col("i").cast("int") + 1, F.lit(length))).alias("of"), F.struct("least", "no", (F.col("start") + F.col("i")).alias("start")).alias("place"))
+    single = written(single, "windows")
+    many = written(single.groupBy("of").agg(*ends, rows).where("rows > 1").drop("high"), "many")
+    again = spread_join(single, many, ["of"], "rows").where(F.lit(not keep_first) | (F.col("place") != F.col("low"))).select("place.no", "place.start")
+    counted = whole.unionByName(again.withColumn("n", F.lit(1).cast("long")))
 
     within = found.where("kind = 'local'" if keep_first else "kind IN ('local', 'first')").select("no", "start", "n")
     copies = by_text.where(f"copies > 1 AND n_bytes >= {length}").where(F.lit(not keep_first)).select("no", F.lit(0).cast("long").alias("start"), (F.col("n_bytes") - length + 1).alias("n"))
     every = cold.unionByName(counted).unionByName(within).unionByName(copies)
     spans = every.groupBy("no").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") - 1 + length).alias("end"))).alias("spans"))
     out = written(by_text.select("no", "key", "least", "copies").join(spans, "no", "left").select("key", "least", "copies", "spans"), "spans")
-    discard(by_text, found, blocks, met)
+    discard(by_text, found, met, alike, cores, lows, ones, single, many)
     return out
 
 

@@ -297,6 +297,42 @@ def test_suffix_dedup_shuffles_neither_texts_that_lose_nothing_nor_the_bytes_of_
     assert size < sum(map(len, texts.values()))  # what it shuffles are numbers: before, each text went twice
 
 
+@pytest.fixture
+def made(spark):
+    """Rows made by the node of a kind that makes most, over all plans that a call runs."""
+
+    def of(call, *kinds):
+        store = spark._jsparkSession.sharedState().statusStore()
+        before, out, most = store.executionsCount(), call(), 0
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.executionsList()
+        for i in (found.apply(k).executionId() for k in range(before, found.size())):
+            values, nodes = store.executionMetrics(i), store.planGraph(i).allNodes()
+            for node in map(nodes.apply, range(nodes.size())):
+                metrics = node.metrics()
+                for m in map(metrics.apply, range(metrics.size())):
+                    if node.name().endswith(kinds) and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+        return out, most
+
+    return of
+
+
+@pytest.mark.parametrize(("shared", "keep_first"), [(120, False), (260, True)])
+def test_suffix_dedup_makes_no_row_for_each_window_at_a_frequent_phrase(spark, made, shared, keep_first, monkeypatch):
+    """A phrase too short for a window, and a passage with a few different surroundings, on more texts than HOT."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 40)
+    monkeypatch.setattr(common, "FILTER_WORDS", 64)
+    rng = np.random.default_rng(3)
+    own = lambda n: rng.bytes(n).hex()
+    phrase, around = own(shared // 2), [(own(10), own(10)) for _ in range(4)]
+    texts = {i: (own(150) + around[i % 4][0] + phrase + around[i % 4][1] + own(150)).encode() for i in range(100)}
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in texts.items()], "doc_id long, text string")
+    got, most = made(lambda: suffix_dedup.suffix_dedup(docs, keep_first=keep_first).collect(), "Generate", "Join")
+    assert {r.doc_id: tuple(r)[1:] for r in got} == _removed(texts, 200, keep_first)
+    assert most < 12 * len(texts)  # 4037 and 10117 when windows of all blocks that differ were counted
+
+
 def test_suffix_array_and_previous_factors():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 300).astype(np.uint8)
